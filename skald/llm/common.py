@@ -150,7 +150,7 @@ class Words:
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """The hash of each k consecutive words, over text borders too: len(h) - k + 1 entries, 0 at least."""
     n = max(0, len(h) - k + 1)
-    out = np.full(n, np.uint64(k) * GOLDEN, np.uint64)
+    out = np.full(n, np.uint64((k * int(GOLDEN)) & 0xFFFFFFFFFFFFFFFF), np.uint64)
     factor = ODD
     for j in range(k):
         out += h[j : j + n] * factor
