@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from skald.llm.common import SPACED, Words, buffers, drop, grams, inside_rows, keys, mix, scratch, settle, slices
 
 SHINGLE, BANDS, ROWS = 5, 10, 3
-#: Sketch cells (of 2 * BANDS * ROWS) in which a linked pair may differ.
+#: Sketch cells (of 2 * BANDS * ROWS, 64 at most) in which a linked pair may differ.
 SKETCH_SLACK = 21
 _LOW_BITS = 0x5555555555555555
 
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, k: int = SHINGLE,
                     for j in range(rows):
                         band[:, i] = mix(band[:, i] ^ (low[:, i * rows + j] + np.uint64(i + 1)))
                 cells = np.zeros((len(n), 2), np.uint64)
-                for j in range(m):
+                for j in range(min(m, 64)):
                     cells[full, j // 32] |= (low[:, j] & np.uint64(3)) << np.uint64(2 * (j % 32))
                 begin = np.append(0, np.cumsum(np.where(n > 0, 2 * bands, 0))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(begin), pa.array(band.ravel().view(np.int64)))
@@ -179,14 +179,14 @@ def _close(slack: int, percent: int) -> Column:
 def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, percent: int, k: int, bands: int, slack: int) -> DataFrame:
     """Confirmed links (a, b) that connect what all links connect. nodes: node, n_shingles, bands, s1, s2 (settled)."""
     spark = docs.sparkSession
-    # bands that several nodes share
+    # bands that several nodes share; a node that shares much is a good centre
     flat = nodes.select("node", F.posexplode("bands").alias("t", "v")).select("node", "t", F.xxhash64("t", "v").alias("band"))
-    shared = flat.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("band")
-    flat = flat.join(shared, "band", "left_semi")
-    mine = flat.groupBy("node").agg(F.collect_list(F.when(F.col("t") < bands, F.col("band"))).alias("p"), F.collect_list(F.when(F.col("t") >= bands, F.col("band"))).alias("q"))  # 2 * bands at most
-    table = mine.select("node", "q", F.explode("p").alias("p")).select("node", "p", F.explode("q").alias("q")).select("node", F.xxhash64("p", "q").alias("key"))
+    shared = flat.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("band", "n")
+    flat = flat.join(shared, "band")
+    mine = flat.groupBy("node").agg(F.sum("n").alias("w"), F.collect_list(F.when(F.col("t") < bands, F.col("band"))).alias("p"), F.collect_list(F.when(F.col("t") >= bands, F.col("band"))).alias("q"))  # 2 * bands at most
+    table = mine.select("node", "w", "q", F.explode("p").alias("p")).select("node", "w", "p", F.explode("q").alias("q")).select("node", "w", F.xxhash64("p", "q").alias("key"))
     table, table_path = scratch(table, "keys")
-    least = table.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "lo")
+    top = table.groupBy("key").agg(F.max_by("node", "w").alias("centre"), F.max("w").alias("cw"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "centre", "cw")
     light = nodes.select("node", "n_shingles", "s1", "s2")
 
     def sift(pairs: DataFrame) -> DataFrame:
@@ -203,13 +203,14 @@ def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, perc
         return settle(similar(wide, percent).distinct())
 
     paths = [table_path]
-    star = settle(sift(table.join(least, "key").filter("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()))
+    centred = table.join(top, "key").filter("node <> centre").groupBy("node").agg(F.max_by("centre", "cw").alias("centre"))
+    star = settle(sift(centred.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()))
     sure = confirm(star)
-    # keys whose nodes the stars did not join: pairs across components, there alone
+    # keys whose nodes the stars did not join: pairs across components, there alone; of keys with the same nodes, one
     comp = settle(components(sure))
-    held = table.join(least.select("key"), "key", "left_semi").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    mixed = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    held, path = scratch(held.join(mixed, "key", "left_semi").join(light, "node"), "mixed")
+    held = table.join(top.select("key"), "key", "left_semi").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    mixed = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h")).filter("lo < hi").groupBy("n", "h").agg(F.min("key").alias("key")).select("key")
+    held, path = scratch(held.select("key", "node", "c").join(mixed, "key", "left_semi").join(light, "node"), "mixed")
     paths.append(path)
     across = held.alias("x").join(held.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _close(slack, percent))
     across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
