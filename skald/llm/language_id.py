@@ -245,7 +245,7 @@ class Model:
         excess = (own - mean[truth]) ** 2 - self.spread[truth] ** 2
         self.wide = max(0.5, float(np.mean(np.maximum(excess, 0) * many)))
         best, _, _, off = self.judge(h, many)
-        self.limit = max(8.0, 1.25 * float(off.max()))
+        self.limit = max(12.0, 1.5 * float(off.max()))
         right = (best == truth).astype(float)
         ordered = np.sort(h, axis=1)
         margin = ordered[:, 1] - ordered[:, 0] if h.shape[1] > 1 else np.full(len(h), 10.0)
