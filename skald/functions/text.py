@@ -80,23 +80,38 @@ def detect_source(url: Column, hint: Column | None = None, html: Column | None =
     return F.coalesce(told, F.lit("bre"))
 
 
+#: Characters whose lower case is in the alphabet or a mark, though they are in neither themselves.
+_ODD_CASE = "\u0130\u212a"
+
+
+def raw_tokens(text: Column) -> Column:
+    """Tokens in order, lower case, without combining marks, of any length.
+
+    Text without marks and odd capitals is lowered as a whole, which spares a
+    function call for each token.
+    """
+    found = lambda x: F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))
+    marked = F.transform(found(text), lambda x: F.lower(F.regexp_replace(x, f"[{MARKS}]", "")))
+    return F.when(text.rlike(f"[{MARKS}{_ODD_CASE}]"), marked).otherwise(found(F.lower(text)))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case tokens in order: Cyrillic, Latin and digits with inner hyphens; combining marks are dropped.
 
     Tokens of digits are kept at any length, others from three characters on.
     """
-    found = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.lower(F.regexp_replace(x, f"[{MARKS}]", "")))
-    return F.filter(found, keeps)
+    return F.filter(raw_tokens(text), keeps)
 
 
 def keeps(token: Column) -> Column:
     """Whether a token is kept."""
-    return all_digits(token) | (F.length(token) >= MIN_TOKEN)
+    return (F.length(token) >= MIN_TOKEN) | all_digits(token)
 
 
 def ascii_tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits, lower case, of any length."""
-    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    odd = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    return F.when(text.rlike(f"[{_ODD_CASE}]"), odd).otherwise(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def all_digits(token: Column) -> Column:

@@ -17,13 +17,11 @@ def tokenize(corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "clea
 
 
 def occurrences(corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "clean_text", analyzer: str = "unicode") -> DataFrame:
-    """doc_id, token without places: what counting needs, in one code-generated stage."""
-    text, pattern = F.try_validate_utf8(F.col(text_col)), X.TOKEN if analyzer == "unicode" else "[A-Za-z0-9]+"
-    raw = corpus.select(F.col(id_col).alias("doc_id"), F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("token"))
-    if analyzer != "unicode":
-        return raw.select("doc_id", F.lower("token").alias("token"))
-    marked = F.when(F.col("token").rlike(f"[{X.MARKS}]"), F.regexp_replace("token", f"[{X.MARKS}]", "")).otherwise(F.col("token"))
-    return raw.select("doc_id", F.lower(marked).alias("token")).filter((F.length("token") >= X.MIN_TOKEN) | X.all_digits(F.col("token")))
+    """doc_id, token without places: what counting needs; tokens are sifted as rows, in generated code."""
+    text = F.try_validate_utf8(F.col(text_col))
+    found = X.raw_tokens(text) if analyzer == "unicode" else X.ascii_tokens(text)
+    rows = corpus.select(F.col(id_col).alias("doc_id"), F.explode(found).alias("token"))
+    return rows.filter(X.keeps(F.col("token"))) if analyzer == "unicode" else rows
 
 
 def docs_index(corpus: DataFrame, tokens: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

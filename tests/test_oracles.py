@@ -3,7 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
-from conftest import SF
+from paths import SF
 
 from skald.plans import oracles, registry
 
