@@ -6,21 +6,26 @@ Two documents are linked if 100 * |intersection| >= percent * |union|, and the
 links' connected components are the groups.
 
 1. One pass makes, for each row, the size and a 128-bit digest of its set, two
-   small collections of BANDS bands (ROWS minhashes each) and a sketch of two
-   bits a minhash. Rows of equal sets become one node.
+   small collections of BANDS bands (ROWS minhashes each), a sketch of two
+   bits a minhash, and a parity sketch, in which every shingle turns one of
+   64 * PARITY bits. Rows of equal sets become one node.
 2. A table key of the tensored banding is a pair (band of the first collection,
    band of the second): BANDS * BANDS tables from 2 * BANDS * ROWS minhashes
    instead of BANDS * BANDS * 2 * ROWS. A pair is missed only if all bands of
    one collection differ: under 1.5e-4 at 0.85 similarity, 6e-7 at 0.9. Bands
    that only one node has can make no shared key and are left out first.
-3. Each node of a table key is paired with the key's least node. Pairs that the
-   sizes or the sketches rule out go (a linked pair passes with all but 2e-7),
-   the others are confirmed on full sets, and confirmed links give components
-   by alternating star steps.
+3. A key's centre is the node whose bands are shared most: an original rather
+   than one of its variants. Each node is paired with the best centre of its
+   keys. Pairs that the sizes or the sketches rule out go: the bits in which
+   parity sketches differ are at most the shingles in which the sets differ, so
+   that loses nothing, and by the other sketch a linked pair passes with all
+   but 2e-7. The others are confirmed on full sets, and confirmed
+   links give components by alternating star steps.
 4. Keys whose nodes are now in several components may still hide links: there
    pairs across components, and only those, are formed, sifted the same way,
-   confirmed and added. So no candidate pair goes unseen, and a group of
-   thousands of copies costs a star, not all its pairs.
+   confirmed and added; of keys with the same nodes one stands for all. So no
+   candidate pair goes unseen, and a group of thousands of copies costs a star,
+   not all its pairs.
 
 Tables are keyed by hash and joined by Spark's own shuffles; least and largest
 members are pre-aggregated, and adaptive execution splits what a hot key deals.
@@ -41,12 +46,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import SPACED, Words, buffers, drop, grams, inside_rows, keys, mix, scratch, settle, slices
+from skald.llm.common import SPACED, Words, buffers, drop, grams, keys, mix, scratch, settle, slices, spread
 
 SHINGLE, BANDS, ROWS = 5, 10, 3
+#: 64-bit words of a parity sketch.
+PARITY = 16
 #: Sketch cells (of 2 * BANDS * ROWS, 64 at most) in which a linked pair may differ.
 SKETCH_SLACK = 21
 _LOW_BITS = 0x5555555555555555
+_SKETCH = ["s1", "s2", *(f"o{i}" for i in range(PARITY))]
 
 
 def shingle_sets(col: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -55,7 +63,6 @@ def shingle_sets(col: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndar
     for lo, hi in slices(at):
         words = Words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], SPACED)
         h = grams(words.hash, k)
-        ok = inside_rows(words.at, k, len(h))
         many = np.diff(words.at)
         parts = []
         for r, n in enumerate(many.tolist()):
@@ -69,16 +76,15 @@ def shingle_sets(col: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndar
                 parts.append(x)
             else:
                 parts.append(grams(words.hash[a : a + n], n) if n else h[:0])
-        del ok
         begin = np.append(0, np.cumsum([len(x) for x in parts]))
         yield lo, np.concatenate(parts) if parts else h[:0], begin
 
 
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, n_shingles, digest (d1, d2), bands (array of 2 * bands hashes, null for the empty set), sketch (s1, s2)."""
+    """id, n_shingles, digest (d1, d2), bands (array of 2 * bands hashes, none for the empty set), sketches (_SKETCH)."""
     m = 2 * bands * rows
     a, b = keys(m, 11) | np.uint64(1), keys(m, 12)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("n_shingles", "d1", "d2")), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("n_shingles", "d1", "d2")), T.StructField("bands", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in _SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,9 +107,12 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, k: int = SHINGLE,
                 cells = np.zeros((len(n), 2), np.uint64)
                 for j in range(min(m, 64)):
                     cells[full, j // 32] |= (low[:, j] & np.uint64(3)) << np.uint64(2 * (j % 32))
+                width = 64 * PARITY
+                turned = np.bincount(spread(at) * width + (mix(x ^ keys(1, 15)[0]) % np.uint64(width)).astype(np.int64), minlength=len(n) * width)
+                parity = np.packbits((turned & 1).astype(np.uint8)).view(np.int64).reshape(len(n), PARITY)
                 begin = np.append(0, np.cumsum(np.where(n > 0, 2 * bands, 0))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(begin), pa.array(band.ravel().view(np.int64)))
-                cols = [batch.column(0).slice(lo, len(n)), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, *(pa.array(np.ascontiguousarray(cells[:, i]).view(np.int64)) for i in (0, 1))]
+                cols = [batch.column(0).slice(lo, len(n)), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, *(pa.array(np.ascontiguousarray(cells[:, i]).view(np.int64)) for i in (0, 1)), *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
@@ -145,25 +154,22 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable from each node of the links (a, b), by alternating large and small stars.
 
     Each round is two grouped minima and joins on a shared-folder copy of the
-    links; the rounds grow with the logarithm of a group's breadth.
+    links; the rounds grow with the logarithm of a group's breadth, and links
+    that are stars around their least nodes already need none.
     """
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    before = None
+    links = settle(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     while True:
-        links = settle(links)
-        seen = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if seen == before or not seen[0]:
-            break
-        before = seen
+        roles = links.select(F.col("a").alias("node"), F.lit(1).alias("inner"), F.lit(0).alias("outer")).union(links.select("b", F.lit(0), F.lit(1)))
+        if roles.groupBy("node").agg(F.max("inner").alias("inner"), F.sum("outer").alias("outer")).filter("inner + outer > 1").isEmpty():
+            return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
         # large star: neighbours above a node go to the least of it and its neighbours
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
         # small star: a node and its neighbours below go to the least of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         links = large.join(least, "b").select("m", "a", "b")
-        links = links.select(F.col("m").alias("a"), "b").union(links.filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-    return links.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node")
+        links = settle(links.select(F.col("m").alias("a"), "b").union(links.filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
 
 
 def _close(slack: int, percent: int) -> Column:
@@ -172,12 +178,15 @@ def _close(slack: int, percent: int) -> Column:
     for s in ("s1", "s2"):
         x = F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(_LOW_BITS)))
+    turned = F.lit(0)
+    for i in range(PARITY):
+        turned = turned + F.bit_count(F.col(f"x.o{i}").bitwiseXOR(F.col(f"y.o{i}")))
     n = F.col("x.n_shingles"), F.col("y.n_shingles")
-    return (differ <= slack) & (100 * F.least(*n) >= percent * F.greatest(*n))
+    return (turned * (100 + percent) <= (100 - percent) * (n[0] + n[1])) & (differ <= slack) & (100 * F.least(*n) >= percent * F.greatest(*n))
 
 
 def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, percent: int, k: int, bands: int, slack: int) -> DataFrame:
-    """Confirmed links (a, b) that connect what all links connect. nodes: node, n_shingles, bands, s1, s2 (settled)."""
+    """Confirmed links (a, b) that connect what all links connect. nodes: node, n_shingles, bands and sketches (settled)."""
     spark = docs.sparkSession
     # bands that several nodes share; a node that shares much is a good centre
     flat = nodes.select("node", F.posexplode("bands").alias("t", "v")).select("node", "t", F.xxhash64("t", "v").alias("band"))
@@ -187,7 +196,7 @@ def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, perc
     table = mine.select("node", "w", "q", F.explode("p").alias("p")).select("node", "w", "p", F.explode("q").alias("q")).select("node", "w", F.xxhash64("p", "q").alias("key"))
     table, table_path = scratch(table, "keys")
     top = table.groupBy("key").agg(F.max_by("node", "w").alias("centre"), F.max("w").alias("cw"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "centre", "cw")
-    light = nodes.select("node", "n_shingles", "s1", "s2")
+    light = nodes.select("node", "n_shingles", *_SKETCH)
 
     def sift(pairs: DataFrame) -> DataFrame:
         x, y = (light.select([F.col(c).alias("node_" + n if c == "node" else c) for c in light.columns]).alias(n) for n in "xy")
@@ -215,9 +224,8 @@ def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, perc
     across = held.alias("x").join(held.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _close(slack, percent))
     across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     across = settle(across)
-    out = sure
-    if not across.isEmpty():
-        out = settle(sure.union(confirm(across)))
+    stars = comp.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    out = stars if across.isEmpty() else stars.union(confirm(across))
     drop(spark, *paths)
     return out
 
@@ -227,7 +235,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     signed, path = scratch(signatures(docs, id_col=id_col, text_col=text_col, k=k, bands=bands, rows=rows), "signatures")
     digest = ["n_shingles", "d1", "d2"]
     usable = signed.filter(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0))
-    nodes = settle(usable.groupBy(*digest).agg(F.min(id_col).alias("node"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
+    nodes = settle(usable.groupBy(*digest).agg(F.min(id_col).alias("node"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in _SKETCH]))
     found = links(docs, nodes, id_col=id_col, text_col=text_col, percent=percent, k=k, bands=bands, slack=slack)
     # rows that repeat an id with other texts are links too
     ids = usable.join(nodes.select(*digest, "node"), digest).select(F.col(id_col).alias("_id"), *digest, "node")
