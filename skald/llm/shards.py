@@ -11,8 +11,9 @@ any slot by arithmetic and resumes anywhere.
 
 Each shard is written by one task, slot by slot, to a name of its own and then
 renamed: a task that is tried again replaces the shard by the same bytes. Both
-passes fingerprint their partitions' documents; the second fails rather than
-write if the input has changed in between.
+passes read the same splits, whatever executors come or go in between (their
+number is pinned), and fingerprint their partitions' documents; the second
+fails rather than write if the input itself has changed.
 
 Defined results: a null or empty text adds only its end id; repeated rows are
 written as often as they occur; an empty table gives no sequences and no shard.
@@ -74,7 +75,18 @@ def _print(col: pa.Array, before: int) -> int:
 
 def write(docs: DataFrame, path: str, *, key: int = 20240229, tokenizer: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS, end_id: int = 0, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards under path; a row for each sequence: slot, shard, byte_offset, n_tokens, ids_crc32 (of its little-endian 32-bit ids, unpadded), first_token (of the first document), doc_ids."""
-    spark, bpe_path = docs.sparkSession, tokenizer or default_path()
+    spark = docs.sparkSession
+    pinned = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(pinned, None)
+    spark.conf.set(pinned, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        return _write(docs, path, key, tokenizer or default_path(), length, shard_rows, end_id, pad_id, id_col, text_col)
+    finally:
+        spark.conf.set(pinned, before) if before else spark.conf.unset(pinned)
+
+
+def _write(docs: DataFrame, path: str, key: int, bpe_path: str, length: int, shard_rows: int, end_id: int, pad_id: int, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     text = docs.select(F.col(id_col), F.col(text_col).cast("string"))
 

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from skald.llm.common import ALNUM, Words, buffers, drop, grams, inside_rows, scratch, settle, slices, spread
 from skald.llm.decontaminate import winnow
 
-K, PICK, SEEDS, MIN_WORDS, SIMILAR, MAX_GAP, GAP_COST = 5, 16, 2, 45, 0.8, 12, 0.1
+K, PICK, SEEDS, MIN_WORDS, SIMILAR, MAX_GAP, GAP_COST = 5, 16, 2, 45, 0.8, 24, 0.1
 
 SPAN = "struct<start:int,end:int,source_id:{id},source_start:int,source_end:int,similarity:double>"
 

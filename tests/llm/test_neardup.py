@@ -42,7 +42,7 @@ def corpus(rng):
 
 
 def test_components_equal_all_pairs(make, split):
-    for seed, percent, options in ((1, 85, {}), (2, 85, {}), (3, 80, {"bands": 14, "slack": 24})):
+    for seed, percent, options in ((1, 85, {}), (3, 80, {"bands": 14, "slack": 24})):
         rows = corpus(random.Random(seed))
         got = N.groups(make(rows), percent=percent, **options).collect()
         assert sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in got) == plain(rows, split, percent)
