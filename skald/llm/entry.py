@@ -87,7 +87,7 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.report(table(spark, sf_dir, "documents"))
+    return substring.repeats(table(spark, sf_dir, "documents"))
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

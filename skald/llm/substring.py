@@ -258,6 +258,11 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     return out
 
 
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row for each repeated passage: the later document's id, start and end (in words), source_id with its start and end, similarity. Documents without any are not there."""
+    return find(docs, id_col=id_col, **options).select(F.col("id").alias(id_col), F.explode("spans").alias("s")).select(id_col, "s.*")
+
+
 def _covered(spans: str) -> F.Column:
     """Words that the spans, sorted by start, cover."""
     step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["to"], x["start"]))).alias("n"), F.greatest(s["to"], x["end"]).alias("to"))

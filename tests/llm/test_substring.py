@@ -72,6 +72,7 @@ def test_report_and_removal(make):
     assert {i for i, r in got.items() if r["n_passages"]} == {9, 14, 21, 25}
     assert all(got[i]["source_ids"] == [3] and abs(got[i]["n_repeated"] - 70) <= 3 for i in (9, 14, 21))
     assert (got[25]["source_ids"], got[25]["n_repeated"]) == ([2], 90)
+    assert sorted((r["doc_id"], r["source_id"]) for r in S.repeats(docs).collect()) == [(9, 3), (14, 3), (21, 3), (25, 2)]
     left = {r["doc_id"]: r for r in S.remove(docs).collect()}
     assert set(left) == set(texts) - {25}
     assert all(left[i]["text"] == texts[i] for i in texts if i not in (9, 14, 21, 25))
