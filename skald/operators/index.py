@@ -63,6 +63,16 @@ def read_index(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_direct(direct: DataFrame, path: str) -> None:
+    """Parquet sorted by id in ranges."""
+    direct.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(path)
+
+
+def read_direct(spark, path: str) -> DataFrame:
+    """What write_direct() wrote."""
+    return spark.read.parquet(path)
+
+
 def corpus_sequence(corpus: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """One row for each id (the first by the rest of its columns), for exports that keep the first of each."""
     rest = [c for c in corpus.columns if c != id_col]

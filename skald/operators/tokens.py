@@ -105,8 +105,8 @@ def top_terms(terms: DataFrame, n: int = 50) -> DataFrame:
     return top.select(F.row_number().over(W.orderBy(F.desc("freq"), "term")).cast("long").alias("rank"), "term", "freq")
 
 
-def mean_length(tokens: DataFrame) -> Column:
-    """Mean length of tokens in characters, 0 for none."""
+def mean_length() -> Column:
+    """Mean length of the tokens of a table in characters, 0 for none."""
     return F.coalesce(F.avg(F.length("token")), F.lit(0.0))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 
@@ -31,6 +32,18 @@ class Settings:
     wikipedia: Wikipedia = field(default_factory=Wikipedia)
     encyclopedia: Encyclopedia = field(default_factory=Encyclopedia)
 
+    @staticmethod
+    def load(path: str) -> Settings:
+        """Settings from a JSON file, or a YAML one where a YAML reader is installed."""
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        try:
+            return Settings.of(json.loads(text))
+        except json.JSONDecodeError:
+            import yaml
+
+            return Settings.of(yaml.safe_load(text) or {})
+
     @staticmethod
     def of(values: Mapping) -> Settings:
         """Settings from a nested mapping; unknown names are ignored."""
