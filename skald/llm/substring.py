@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -291,26 +292,29 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     """docs without the passages that an earlier document has, and without documents of which no word is left; chars_col is counted anew."""
     found = find(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.transform("spans", lambda s: F.array(s["start"], s["end"])).alias("_spans"))
     joined = docs.join(found, (F.col(id_col) == F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_th")), "left").select(*docs.columns, "_spans")
-    changed = joined.filter("_spans is not null")
     where = docs.columns.index(text_col)
+    counted = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = buffers(batch.column(where))
-            spans = batch.column(batch.num_columns - 1).to_pylist()
-            texts = []
-            for r in range(batch.num_rows):
-                part = raw[at[r] : at[r + 1]]
-                texts.append(cut_out(part, Words(part, np.array([0, len(part)]), ALNUM), spans[r]))
-            keep = [i for i, t in enumerate(texts) if t is not None]
-            cols = [c.take(pa.array(keep, pa.int64())) for c in batch.columns[:-1]]
-            cols[where] = pa.array([texts[i] for i in keep], pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
-
-    cut = changed.mapInArrow(run, docs.schema)
-    if chars_col and chars_col in docs.columns:
-        cut = cut.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)).select(*docs.columns)
-    return joined.filter("_spans is null").drop("_spans").union(cut)
+            cols = list(batch.columns[:-1])
+            changed = pc.is_valid(batch.column(len(cols)))
+            at_rows = np.flatnonzero(changed.to_numpy(zero_copy_only=False))
+            keep = np.ones(batch.num_rows, bool)
+            if at_rows.size:
+                raw, at = buffers(cols[where])
+                spans = batch.column(len(cols)).take(pa.array(at_rows)).to_pylist()
+                texts = []
+                for r, own in zip(at_rows.tolist(), spans):
+                    part = raw[at[r] : at[r + 1]]
+                    texts.append(cut_out(part, Words(part, np.array([0, len(part)]), ALNUM), own))
+                keep[at_rows] = [t is not None for t in texts]
+                cols[where] = pc.replace_with_mask(cols[where], changed, pa.array([t or "" for t in texts], cols[where].type))
+                if counted is not None:
+                    cols[counted] = pc.replace_with_mask(cols[counted], changed, pa.array([len(t or "") for t in texts], cols[counted].type))
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def cut_out(raw: np.ndarray, words: Words, spans: list[list[int]]) -> str | None:
