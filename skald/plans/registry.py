@@ -11,6 +11,7 @@ from skald.functions import html as H
 from skald.functions import text as X
 from skald.operators import crawl, index, refresh, search, stats
 from skald.operators import tokens as K
+from skald.sources.tables import table
 
 NOW, AGE = 1_001_000_000, 999_000_000
 POLICY = refresh.Policy(min_words=60, revisit_seconds=604_800)
@@ -23,10 +24,6 @@ RUSSIAN = (
 ).split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as corpus records: url from the id, title from the first line."""
     d = table(spark, sf_dir, "documents")
