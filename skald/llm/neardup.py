@@ -23,9 +23,9 @@ links' connected components are the groups.
    links give components by alternating star steps.
 4. Keys whose nodes are now in several components may still hide links: there
    pairs across components, and only those, are formed, sifted the same way,
-   confirmed and added; of keys with the same nodes one stands for all. So no
-   candidate pair goes unseen, and a group of thousands of copies costs a star,
-   not all its pairs.
+   confirmed and added; each is formed once, at the first band of the one
+   collection that both nodes have. So no candidate pair goes unseen, and a
+   group of thousands of copies costs a star, not all its pairs.
 
 Tables are keyed by hash and joined by Spark's own shuffles; least and largest
 members are pre-aggregated, and adaptive execution splits what a hot key deals.
@@ -39,6 +39,8 @@ rows with a null id are linked with nothing (component null, not kept).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -190,12 +192,13 @@ def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, perc
     spark = docs.sparkSession
     # bands that several nodes share; a node that shares much is a good centre
     flat = nodes.select("node", F.posexplode("bands").alias("t", "v")).select("node", "t", F.xxhash64("t", "v").alias("band"))
-    shared = flat.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("band", "n")
+    # settled, as below, so that the join reads plain shuffles, whose large partitions can be split
+    shared = settle(flat.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("band", "n"))
     flat = flat.join(shared, "band")
     mine = flat.groupBy("node").agg(F.sum("n").alias("w"), F.collect_list(F.when(F.col("t") < bands, F.col("band"))).alias("p"), F.collect_list(F.when(F.col("t") >= bands, F.col("band"))).alias("q"))  # 2 * bands at most
     table = mine.select("node", "w", "q", F.explode("p").alias("p")).select("node", "w", "p", F.explode("q").alias("q")).select("node", "w", F.xxhash64("p", "q").alias("key"))
     table, table_path = scratch(table, "keys")
-    top = table.groupBy("key").agg(F.max_by("node", "w").alias("centre"), F.max("w").alias("cw"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "centre", "cw")
+    top = settle(table.groupBy("key").agg(F.max_by("node", "w").alias("centre"), F.max("w").alias("cw"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "centre", "cw"))
     light = nodes.select("node", "n_shingles", *_SKETCH)
 
     def sift(pairs: DataFrame) -> DataFrame:
@@ -215,13 +218,18 @@ def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, perc
     centred = table.join(top, "key").filter("node <> centre").groupBy("node").agg(F.max_by("centre", "cw").alias("centre"))
     star = settle(sift(centred.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()))
     sure = confirm(star)
-    # keys whose nodes the stars did not join: pairs across components, there alone; of keys with the same nodes, one
+    # keys whose nodes the stars did not join: pairs of their nodes across components, each formed at its first common band
     comp = settle(components(sure))
-    held = table.join(top.select("key"), "key", "left_semi").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    mixed = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h")).filter("lo < hi").groupBy("n", "h").agg(F.min("key").alias("key")).select("key")
-    held, path = scratch(held.select("key", "node", "c").join(mixed, "key", "left_semi").join(light, "node"), "mixed")
+    held = table.select("key", "node").join(top.select("key"), "key", "left_semi").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    mixed = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    open_nodes = held.join(mixed, "key", "left_semi").groupBy("node").agg(F.min("c").alias("c"))
+    held, path = scratch(nodes.select("node", "n_shingles", "bands", *_SKETCH).join(open_nodes, "node").select("*", F.posexplode(F.slice("bands", 1, bands)).alias("t", "band")), "open")
     paths.append(path)
-    across = held.alias("x").join(held.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _close(slack, percent))
+    same = lambda i: F.col("x.bands")[i] == F.col("y.bands")[i]
+    first = reduce(and_, [(F.col("x.t") <= i) | ~same(i) for i in range(bands)])
+    both = reduce(or_, [same(bands + i) for i in range(bands)])
+    meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))
+    across = held.alias("x").join(held.alias("y"), meet & _close(slack, percent) & both & first)
     across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     across = settle(across)
     stars = comp.select(F.col("component").alias("a"), F.col("node").alias("b"))
@@ -252,7 +260,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents, one of each group; rows that repeat an id leave one."""
-    info = groups(docs, id_col=id_col, **options).groupBy(id_col).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
-    kept = docs.join(info.filter("_kept"), id_col).select(*docs.columns, "_n")
-    once, more = kept.filter("_n = 1").drop("_n"), kept.filter("_n > 1").drop("_n").dropDuplicates([id_col])
-    return once.union(more)
+    info = settle(groups(docs, id_col=id_col, **options).groupBy(id_col).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).filter("_kept"))
+    kept = docs.join(info, id_col).select(*docs.columns, "_n")
+    if info.filter("_n > 1").isEmpty():
+        return kept.drop("_n")
+    return kept.filter("_n = 1").drop("_n").union(kept.filter("_n > 1").drop("_n").dropDuplicates([id_col]))
