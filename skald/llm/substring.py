@@ -230,7 +230,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     seed, seed_path = scratch(_fingerprints(rows, k, pick), "seeds")
-    owner = seed.groupBy("seed").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("seed", "owner")
+    # settled, so that the join reads plain shuffles, whose large partitions can be split
+    owner = settle(seed.groupBy("seed").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("seed", "owner"))
     pairs = settle(seed.join(owner, "seed").filter("id > owner").groupBy("id", "owner").agg(F.count("*").alias("n")).filter(F.col("n") >= seeds).select("id", "owner"))
     ids = pairs.select("id").union(pairs.select(F.col("owner").alias("id"))).distinct()
     words, words_path = scratch(_word_codes(rows.join(ids, "id", "left_semi").select("id", F.xxhash64("text").alias("th"), "text")), "words")
