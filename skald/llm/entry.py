@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import uuid
-
 from skald.llm import ann, decontaminate, language_id, neardup, packing, quality, shards, substring, token_counts, url_filters
 from skald.llm.common import settle, shared_dir
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from skald.sources.tables import table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
