@@ -17,8 +17,9 @@ CORPUS = T.StructType([T.StructField(n, T.StringType()) for n in ("doc_id", "nor
 
 def read_corpus(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
     """A JSON-lines corpus. strict drops rows without id or text; else missing fields are empty. Broken lines are dropped."""
-    raw = spark.read.schema(T.StructType([*CORPUS, T.StructField("_broken", T.StringType())])).option("columnNameOfCorruptRecord", "_broken").json(path)
-    rows = raw.filter("_broken is null").drop("_broken")
+    schema = T.StructType([*CORPUS, T.StructField("_broken", T.StringType())])
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = spark.read.text(path).filter("trim(value) <> ''").select(parsed.alias("r")).filter("r is not null and r._broken is null").select("r.*").drop("_broken")
     if strict:
         return rows.filter("doc_id is not null and clean_text is not null")
     return rows.na.fill("")

@@ -18,7 +18,7 @@ def clean(spark, html, url="http://x.org/a", hint=None):
 def test_article_rules(spark):
     html = f"""<html><head><meta property="og:title" content=" Заглавие "><title>T — site</title></head><body><div id="content"><h1>{LONG}</h1>
     <p>{LONG}<sup>[1]</sup> [2]</p><p>{LONG} [2]</p><p>коротко</p><p>Нажмите править эту статью прямо сейчас, пожалуйста.</p>
-    <table><tr><td><p>{LONG} таблица</p></td></tr></table><li><a href="#">{LONG} ссылка</a></li><h2>1. Литература:</h2><p>{LONG} конец</p></div></body></html>"""
+    <table><tr><td><p>{LONG} таблица</p></td></tr></table><li><a href="#">{LONG} ссылка</a></li><h2>1.2 Литература:</h2><p>{LONG} конец</p></div></body></html>"""
     r = clean(spark, html)
     assert r["title"] == "Заглавие"
     assert r["clean_text"] == f"{LONG}\n\n{LONG} ссылка"
