@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from skald.llm.common import settle
+from skald.llm.common import settle, tidy
 
 SAMPLE, RECALL, EPSILON, BLOCK, CHUNK, QUERIES = 20_000, 0.985, 2.6, 16, 4096, 512
 
@@ -164,7 +164,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
                 near = np.argmax((x / np.linalg.norm(x, axis=1, keepdims=True)) @ shared.value.centroids.T, axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "list", "vec"])
 
-    placed = settle(rows.mapInArrow(place, placed_schema))
+    placed = settle(rows.mapInArrow(tidy(place), placed_schema))
     counts = np.zeros(len(index.centroids), np.int64)
     for r in placed.groupBy("list").count().collect():  # a row for each list
         counts[r["list"]] = r["count"]
@@ -189,7 +189,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
     key = ["list", "chunk", "block"]
     spread = F.element_at(F.array(*[F.lit(int(c)) for c in chunks]), F.col("list") + 1)
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
-    left = asked.mapInArrow(route, T.StructType([T.StructField("list", T.IntegerType()), T.StructField("chunk", T.IntegerType()), *placed_schema[0:1], *placed_schema[2:3]])).withColumn("block", block)
+    left = asked.mapInArrow(tidy(route), T.StructType([T.StructField("list", T.IntegerType()), T.StructField("chunk", T.IntegerType()), *placed_schema[0:1], *placed_schema[2:3]])).withColumn("block", block)
     right = placed.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), spread).cast("int")).withColumn("block", F.explode(F.array(*[F.lit(b) for b in range(blocks)])) if blocks < 1000 else F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def visit(queries: pa.Table, members: pa.Table) -> pa.Table:

@@ -7,6 +7,9 @@ has. Null texts count as empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +58,32 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: What else a worker can give back between tasks.
+AT_REST: list = []
+
+
+def release() -> None:
+    """Give a worker's free memory back; it may live on for other tasks."""
+    for rest in AT_REST:
+        rest()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """run over batches, and release() when its task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the splitmix64 finaliser)."""
     h = h ^ (h >> np.uint64(30))

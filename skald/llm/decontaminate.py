@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import ALNUM, Words, buffers, grams, inside_rows, settle, slices, spread
+from skald.llm.common import ALNUM, Words, buffers, grams, inside_rows, settle, slices, spread, tidy
 
 SPAN, K = 8, 5
 PICK = SPAN - K + 1
@@ -175,7 +175,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     for ids, col in blocks(benchmark, id_col=item_col, text_col=item_text_col, most=block_words):
         if not fresh:
             out = settle(out)
-        out = out.mapInArrow(step(spark.sparkContext.broadcast(Block(ids, col, span, k)), fresh), schema)
+        out = out.mapInArrow(tidy(step(spark.sparkContext.broadcast(Block(ids, col, span, k)), fresh)), schema)
         fresh = False
     return out
 

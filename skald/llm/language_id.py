@@ -15,7 +15,8 @@ back-off weights. A text gets the language of least cross-entropy a symbol.
 Its score is a calibrated probability (logistic regression of "was right" on
 margin and length over calibration rows that no count has seen). It is
 rejected when its cross-entropy lies further above that language's than any
-calibration row's does, in standard errors, or when it has no letter.
+calibration row's does, both in standard errors and, by a third, as such, or
+when it has no letter.
 
 Fitting reads at most about `rows_per_language` rows a language (ROWS; a
 deterministic sample by hash of the id), which bounds what the driver holds;
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import buffers, mix, slices
+from skald.llm.common import buffers, mix, slices, tidy
 
 ORDER, BITS, ROWS = 5, 12, 4000
 UNKNOWN = "und"
@@ -183,6 +184,7 @@ class Model:
         self.weights = np.array([0.0, 4.0, 0.5])
         self.mean = self.spread = np.zeros(len(languages))
         self.wide, self.limit = 1.0, np.inf
+        self.ceiling = np.full(len(languages), np.inf)
 
     def log_p(self, key: np.ndarray) -> np.ndarray:
         """log P of each top-order n-gram under each language."""
@@ -206,7 +208,7 @@ class Model:
         """Cross-entropy a symbol of each text under each language (nats), and how many symbols it has."""
         raw, at = buffers(col)
         sums, many = np.zeros((len(at) - 1, len(self.languages))), np.zeros(len(at) - 1, np.int64)
-        for lo, hi in slices(at, 1 << 21):
+        for lo, hi in slices(at, 1 << 20):
             code, begin = symbols(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
             many[lo:hi] = np.diff(begin)
             if not len(code):
@@ -246,6 +248,7 @@ class Model:
         self.wide = max(0.5, float(np.mean(np.maximum(excess, 0) * many)))
         best, _, _, off = self.judge(h, many)
         self.limit = max(12.0, 1.5 * float(off.max()))
+        self.ceiling = 1.35 * np.array([own[truth == i].max() if (truth == i).any() else own.max() for i in range(len(self.languages))])
         right = (best == truth).astype(float)
         ordered = np.sort(h, axis=1)
         margin = ordered[:, 1] - ordered[:, 0] if h.shape[1] > 1 else np.full(len(h), 10.0)
@@ -289,7 +292,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                     key, n = np.unique(g[owner == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang.dictionary[int(i)].as_py()] * len(key), pa.string()), pa.array(key), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    table = chosen.filter("not calibrates").select("lang", "text").mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    table = chosen.filter("not calibrates").select("lang", "text").mapInArrow(tidy(count), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if table.empty:
         return None
     counted = {}
@@ -304,7 +307,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             h, many = shared.value.entropies(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.tolist(), pa.list_(pa.float64())), pa.array(many)], names=["lang", "h", "many"])
 
-    rows = chosen.filter(F.col("calibrates") & F.col("lang").isin(languages)).select("lang", "text").mapInArrow(weigh, "lang string, h array<double>, many long").toPandas()
+    rows = chosen.filter(F.col("calibrates") & F.col("lang").isin(languages)).select("lang", "text").mapInArrow(tidy(weigh), "lang string, h array<double>, many long").toPandas()
     if len(rows):
         model.calibrate(np.stack(rows["h"].to_numpy()), rows["many"].to_numpy(), np.array([languages.index(x) for x in rows["lang"]]))
     return model
@@ -330,10 +333,10 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
                 best, score, margin, off = m.judge(h, many)
                 names = [*m.languages, UNKNOWN]
                 least = np.where(many > 0, h.min(axis=1) if n else 0.0, 0.0)
-                cols = [pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score), pa.array(margin), pa.array(least), pa.array((best < 0) | (off > m.limit))]
+                cols = [pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score), pa.array(margin), pa.array(least), pa.array((best < 0) | ((off > m.limit) & (least > m.ceiling[best])))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

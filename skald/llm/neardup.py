@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import SPACED, Words, buffers, drop, grams, keys, mix, scratch, settle, slices, spread
+from skald.llm.common import SPACED, Words, buffers, drop, grams, keys, mix, scratch, settle, slices, spread, tidy
 
 SHINGLE, BANDS, ROWS = 5, 10, 3
 #: 64-bit words of a parity sketch.
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, k: int = SHINGLE,
                 cols = [batch.column(0).slice(lo, len(n)), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, *(pa.array(np.ascontiguousarray(cells[:, i]).view(np.int64)) for i in (0, 1)), *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def sets(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
@@ -130,7 +130,7 @@ def sets(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
                 raw = memoryview(np.ascontiguousarray(x)).cast("B") if len(x) else memoryview(b"")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(at) - 1), pa.array([bytes(raw[8 * p : 8 * q]) for p, q in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], names=schema.names)
 
-    return docs.select("node", "text").mapInArrow(run, schema)
+    return docs.select("node", "text").mapInArrow(tidy(run), schema)
 
 
 def similar(pairs: DataFrame, percent: int) -> DataFrame:
@@ -149,7 +149,7 @@ def similar(pairs: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, schema)
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(tidy(run), schema)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from skald.llm.common import settle
+from skald.llm.common import settle, tidy
 from skald.llm.tokens import BytePairs, default_path
 
 #: Pieces that are numbered together.
@@ -158,7 +158,7 @@ def pieces(docs: DataFrame, *, tokenizer: str, cap: int = 2048, end_id: int = 0,
                 cols.append(pa.array([bytes(x) for x in spans], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def assign(cut_up: DataFrame, *, cap: int = 2048, by: tuple[str, ...] = ("doc_id", "piece")) -> tuple[DataFrame, int]:
@@ -184,7 +184,7 @@ def assign(cut_up: DataFrame, *, cap: int = 2048, by: tuple[str, ...] = ("doc_id
             seq, offset = shared.value.place(batch.column(where["length"]).to_numpy(), batch.column(where["_rank"]).to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(where[n]) for n in names), pa.array(seq), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema), plan.n
+    return ranked.mapInArrow(tidy(run), schema), plan.n
 
 
 def pack(docs: DataFrame, *, tokenizer: str | None = None, cap: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import GOLDEN, SPACED, Words, buffers, grams, inside_rows, mix, slices, spread
+from skald.llm.common import GOLDEN, SPACED, Words, buffers, grams, inside_rows, mix, slices, spread, tidy
 from skald.llm.language_id import held_out
 
 SAMPLE, HIDDEN, HASHED, STEPS = 8000, 24, 128, 600
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], names=schema.names)
 
     # the unlabelled sample stands for all rows, labelled or not
-    described = rows.withColumn("unlabelled", F.coalesce(F.pmod(F.xxhash64("id", F.lit("unlabelled")), F.lit(1_000_000)) / 1e6 < own, F.lit(True))).filter(F.col("unlabelled") | (place < most)).mapInArrow(run, schema)
+    described = rows.withColumn("unlabelled", F.coalesce(F.pmod(F.xxhash64("id", F.lit("unlabelled")), F.lit(1_000_000)) / 1e6 < own, F.lit(True))).filter(F.col("unlabelled") | (place < most)).mapInArrow(tidy(run), schema)
     y_share = F.create_map(*[x for y, s in share.items() for x in (F.lit(y), F.lit(s))])
     chosen = known.filter(place < F.element_at(y_share, F.col("y").cast("int")))
     got = described.join(chosen, "id", "left").filter("unlabelled or y is not null").withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(4)) == 0).select("x", "unlabelled", "y", "calibrates").toPandas()
@@ -226,7 +226,7 @@ def score(docs: DataFrame, net: Network | None, *, text_col: str = "text", thres
             s = shared.value.score(features(batch.column(where))) if shared.value else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import keys, mix, settle
+from skald.llm.common import keys, mix, settle, tidy
 from skald.llm.packing import ended
 from skald.llm.tokens import BytePairs, default_path
 
@@ -98,7 +98,7 @@ def _write(docs: DataFrame, path: str, key: int, bpe_path: str, length: int, sha
             mark = _print(batch.column(0), mark)
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([-(-total // length)]), pa.array([mark])], names=["part", "n", "mark"])
 
-    counted = text.mapInArrow(count, "part long, n long, mark long").filter("n > 0").orderBy("part").collect()  # a row for each input partition
+    counted = text.mapInArrow(tidy(count), "part long, n long, mark long").filter("n > 0").orderBy("part").collect()  # a row for each input partition
     first, n = {}, 0
     for r in counted:
         first[r["part"]] = (n, r["mark"])
@@ -145,7 +145,7 @@ def _write(docs: DataFrame, path: str, key: int, bpe_path: str, length: int, sha
         if mark != expected:
             raise RuntimeError("the input changed between the two passes")
 
-    slotted = text.mapInArrow(sequences, store).withColumn("shard", F.floor(F.col("slot") / shard_rows))
+    slotted = text.mapInArrow(tidy(sequences), store).withColumn("shard", F.floor(F.col("slot") / shard_rows))
     manifest = T.StructType([*(T.StructField(x, T.LongType()) for x in ("slot", "shard", "byte_offset", "n_tokens", "ids_crc32", "first_token")), T.StructField("doc_ids", T.ArrayType(kind))])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def _write(docs: DataFrame, path: str, key: int, bpe_path: str, length: int, sha
         close()
 
     tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // shard_rows)))
-    written = slotted.repartition(tasks, "shard").sortWithinPartitions("slot").mapInArrow(put, manifest)
+    written = slotted.repartition(tasks, "shard").sortWithinPartitions("slot").mapInArrow(tidy(put), manifest)
     return settle(written)
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import ALNUM, Words, buffers, drop, grams, inside_rows, scratch, settle, slices, spread
+from skald.llm.common import ALNUM, Words, buffers, drop, grams, inside_rows, scratch, settle, slices, spread, tidy
 from skald.llm.decontaminate import winnow
 
 K, PICK, SEEDS, MIN_WORDS, SIMILAR, MAX_GAP, GAP_COST = 5, 16, 2, 45, 0.8, 24, 0.1
@@ -206,7 +206,7 @@ def _fingerprints(docs: DataFrame, k: int, pick: int) -> DataFrame:
                 row = spread(words.at)[kept] + lo
                 yield pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), batch.column(0).take(pa.array(row))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _word_codes(docs: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _word_codes(docs: DataFrame) -> DataFrame:
                 cols = [bytes(data[2 * p : 2 * q]) for p, q in zip(words.at[:-1].tolist(), words.at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(cols, pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, pick: int = PICK, seeds: int = SEEDS, least: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
@@ -254,7 +254,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
             i32 = pa.int32()
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, i32), pa.array(end, i32), batch.column(2).take(at), pa.array(s_start, i32), pa.array(s_end, i32), pa.array(share, pa.float64())], names=schema.names)
 
-    flat = wide.select("id", "th", "owner", "words", "source").mapInArrow(run, schema)
+    flat = wide.select("id", "th", "owner", "words", "source").mapInArrow(tidy(run), schema)
     out = settle(flat.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct(*span.names))).alias("spans")))  # a document's own passages
     drop(spark, seed_path, words_path)
     return out
@@ -283,7 +283,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
             many = [np.diff(Words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], ALNUM).at) for lo, hi in slices(at)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(many) if many else np.zeros(0, np.int64))], names=schema.names)
 
-    sized = docs.select(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string")).mapInArrow(count, schema)
+    sized = docs.select(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string")).mapInArrow(tidy(count), schema)
     out = sized.join(found.withColumnRenamed("id", id_col), [id_col, "th"], "left")
     spans = F.coalesce(F.col("spans"), F.array().cast(found.schema["spans"].dataType))
     return out.withColumn("spans", spans).select(id_col, "n_words", _covered("spans").cast("long").alias("n_repeated"), F.size("spans").cast("long").alias("n_passages"), F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["source_id"]))).alias("source_ids"), "spans")
@@ -315,7 +315,7 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
                     cols[counted] = pc.replace_with_mask(cols[counted], changed, pa.array([len(t or "") for t in texts], cols[counted].type))
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1]).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)
 
 
 def cut_out(raw: np.ndarray, words: Words, spans: list[list[int]]) -> str | None:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from skald.llm.common import tidy
 from skald.llm.tokens import BytePairs, default_path
 
 GROUPS = ["source", "lang", "tokenizer"]
@@ -48,7 +49,7 @@ def bpe_counts(docs: DataFrame, *, tokenizer: str | None = None, version: str =
             _, at = bpe.encode(batch.column(len(kept)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(at))], names=schema.names)
 
-    return ordered.mapInArrow(run, schema).withColumn("tokenizer", F.lit(version))
+    return ordered.mapInArrow(tidy(run), schema).withColumn("tokenizer", F.lit(version))
 
 
 def word_counts(docs: DataFrame, *, version: str = "words-1", text_col: str = "text") -> DataFrame:

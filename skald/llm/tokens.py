@@ -15,7 +15,7 @@ import json
 import numpy as np
 import pyarrow as pa
 
-from skald.llm.common import BYTE, GOLDEN, ODD, buffers, mix, slices
+from skald.llm.common import AT_REST, BYTE, GOLDEN, ODD, buffers, mix, slices
 
 
 def default_path() -> str:
@@ -57,6 +57,12 @@ class BytePairs:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    @classmethod
+    def rest(cls) -> None:
+        """Give back what has been learnt: a worker that lives on needs it no more."""
+        for one in cls._loaded.values():
+            one._forget()
+
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32), and where each row's begin (n + 1 offsets)."""
         raw, at = buffers(col)
@@ -115,12 +121,12 @@ class BytePairs:
         return self.stock[place], done[np.searchsorted(cut, at)]
 
     # What pieces have been encoded so far, as an open-addressing table by 64-bit hash of at most MOST + one slice's pieces.
-    MOST = 1 << 20
+    MOST = 1 << 19
 
     def _forget(self) -> None:
-        self.name = np.zeros(self.MOST * 4, np.uint64)
-        self.first, self.many = np.zeros(self.MOST * 4, np.int32), np.zeros(self.MOST * 4, np.int32)
-        self.stock, self.used, self.known = np.zeros(1 << 22, np.uint32), 0, 0
+        self.name = np.zeros(1 << 16, np.uint64)
+        self.first, self.many = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.stock, self.used, self.known = np.zeros(1 << 16, np.uint32), 0, 0
 
     def _find(self, name: np.ndarray) -> np.ndarray:
         """The slot of each piece, or -1."""
@@ -186,3 +192,4 @@ _SEEN[0x21:0x7F] = True
 _OPENS = _SEEN.copy()
 _OPENS[0xC3:0xE1] = True
 _OPENS[0xE4:0xF5] = True
+AT_REST.append(BytePairs.rest)
