@@ -15,7 +15,7 @@ back-off weights. A text gets the language of least cross-entropy a symbol.
 Its score is a calibrated probability (logistic regression of "was right" on
 margin and length over calibration rows that no count has seen). It is
 rejected when its cross-entropy lies further above that language's than any
-calibration row's does, both in standard errors and, by a third, as such, or
+calibration row's does, in standard errors and by four fifths of itself, or
 when it has no letter.
 
 Fitting reads at most about `rows_per_language` rows a language (ROWS; a
@@ -248,7 +248,7 @@ class Model:
         self.wide = max(0.5, float(np.mean(np.maximum(excess, 0) * many)))
         best, _, _, off = self.judge(h, many)
         self.limit = max(12.0, 1.5 * float(off.max()))
-        self.ceiling = 1.35 * np.array([own[truth == i].max() if (truth == i).any() else own.max() for i in range(len(self.languages))])
+        self.ceiling = 1.8 * np.array([own[truth == i].max() if (truth == i).any() else own.max() for i in range(len(self.languages))])
         right = (best == truth).astype(float)
         ordered = np.sort(h, axis=1)
         margin = ordered[:, 1] - ordered[:, 0] if h.shape[1] > 1 else np.full(len(h), 10.0)

@@ -23,7 +23,7 @@ def test_planted_documents(spark, tmp_path):
     planted = {
         9000: base[0],  # an exact copy
         9001: " ".join(words),  # a near copy
-        9002: " ".join(base[3].split()[:60] + passage.split() + base[4].split()[:60]),  # a repeated passage
+        9002: " ".join(base[3].split()[:30] + passage.split() + base[4].split()[:30]),  # a repeated passage
         9003: " ".join(rng.sample(base[5].split(), 90)) + " " + bench.text[0],  # a benchmark item
         9004: "12345 67890 !!! ???",  # no language
     }
