@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from html.parser import HTMLParser
 from urllib.parse import urlparse
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.functions.text import clean_text, count_words, normalize_heading, strip
+from skald.functions.text import clean_text, count_words, let, normalize_heading, strip
 
 # fixed values: what marks, fills and clutters an article on each kind of site
 STOP_HEADINGS = ["ссылки", "литература", "примечания", "источники", "библиография", "см. также", "внешние ссылки", "список литературы", "комментарии", "справочные материалы"]
@@ -74,7 +75,7 @@ class Node:
 
     def matches(self, selector: str) -> bool:
         """tag, .class, tag.class, tag#id, or two of them with a blank between (an ancestor and the element)."""
-        *above, own = selector.split(" ")
+        *above, own = _parsed(selector)
         if not self._simple(own):
             return False
         node = self.parent
@@ -84,18 +85,41 @@ class Node:
             node = node.parent
         return not above
 
-    def _simple(self, selector: str) -> bool:
-        tag, kind, name = re.fullmatch(r"([^.#]*)([.#]?)(.*)", selector).groups()
+    def _simple(self, part: tuple[str, str, str]) -> bool:
+        tag, kind, name = part
         if tag and self.tag != tag:
             return False
         if kind == ".":
             return name in self.attrs.get("class", "").split()
         return kind != "#" or self.attrs.get("id") == name
 
-    def drop(self) -> None:
-        if self.parent:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-            self.parent = None
+
+@cache
+def _parsed(selector: str) -> tuple[tuple[str, str, str], ...]:
+    return tuple(re.fullmatch(r"([^.#]*)([.#]?)(.*)", part).groups() for part in selector.split(" "))
+
+
+@cache
+def _clutter(kind: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Tags and classes of what is cut from a kind of page."""
+    chosen = [*CLUTTER, *CLUTTER_OF.get(kind, []), "sup"]
+    return frozenset(x for x in chosen if x[0] != "."), frozenset(x[1:] for x in chosen if x[0] == ".")
+
+
+def _prune(node: Node, tags: frozenset[str], classes: frozenset[str]) -> None:
+    """Cut clutter below node, in one walk."""
+    todo = [node]
+    while todo:
+        top = todo.pop()
+        kept = []
+        for c in top.children:
+            if isinstance(c, Node):
+                own = c.attrs.get("class", "").split() if "class" in c.attrs else ()
+                if c.tag in tags or (own and not classes.isdisjoint(own)) or (c.tag == "span" and "mw-editsection" in own):
+                    continue
+                todo.append(c)
+            kept.append(c)
+        top.children = kept
 
 
 class _Builder(HTMLParser):
@@ -171,17 +195,15 @@ def content_root(root: Node, kind: str) -> Node | None:
 
 def blocks(html: str | None, url: str | None = None, hint: str | None = None) -> list[tuple[str, str]]:
     """(tag, text) of the headings, paragraphs and list items of the article, in order."""
-    if not html:
-        return []
-    tree = parse(html)
+    return _blocks(parse(html), url, hint) if html else []
+
+
+def _blocks(tree: Node, url: str | None, hint: str | None) -> list[tuple[str, str]]:
     kind = site(tree, url, hint)
     root = content_root(tree, kind)
     if root is None:
         return []
-    for selector in [*CLUTTER, *CLUTTER_OF.get(kind, []), "span.mw-editsection", "sup"]:
-        for node in list(root.walk()):
-            if node.matches(selector):
-                node.drop()
+    _prune(root, *_clutter(kind))
     for node in list(root.walk()):
         if node.tag == "a":
             node.children = [node.text()]
@@ -190,9 +212,10 @@ def blocks(html: str | None, url: str | None = None, hint: str | None = None) ->
 
 def title(html: str | None) -> str:
     """og:title, the first h1, the title element before its first dash or bar, a meta title, or a stand-in."""
-    if not html:
-        return UNTITLED
-    tree = parse(html)
+    return _title(parse(html)) if html else UNTITLED
+
+
+def _title(tree: Node) -> str:
     metas = [n for n in tree.walk() if n.tag == "meta"]
     for found in (
         next((n.attrs.get("content", "") for n in metas if n.attrs.get("property") == "og:title"), ""),
@@ -205,23 +228,32 @@ def title(html: str | None) -> str:
     return UNTITLED
 
 
+def _parts(html: str | None, url: str | None, hint: str | None) -> tuple[str, list[dict[str, str]]]:
+    if not html:
+        return UNTITLED, []
+    tree = parse(html)
+    return _title(tree), [{"tag": a, "text": b} for a, b in _blocks(tree, url, hint)]
+
+
 @F.pandas_udf(PARTS)
 def page_parts(html: pd.Series, url: pd.Series, hint: pd.Series) -> pd.DataFrame:
     """Title and blocks of each page."""
-    rows = [(title(h), [{"tag": a, "text": b} for a, b in blocks(h, u, s)]) for h, u, s in zip(html, url, hint)]
+    rows = [_parts(h, u, s) for h, u, s in zip(html, url, hint)]
     return pd.DataFrame(rows, columns=["title", "blocks"])
 
 
 def article(parts: Column) -> Column:
     """The article's text: blocks up to the first closing heading, without controls, short blocks and doubled neighbours."""
     cleaned = F.filter(F.transform(parts, lambda b: F.struct(b["tag"].alias("tag"), clean_text(b["text"]).alias("text"))), lambda b: b["text"] != "")
+    return let(cleaned, _shown)
+
+
+def _shown(cleaned: Column) -> Column:
     stops = F.transform(cleaned, lambda b: b["tag"].rlike("^h[2-6]$") & normalize_heading(b["text"]).isin(STOP_HEADINGS))
-    first = F.array_position(stops, F.lit(True))
-    before = F.when(first > 0, F.slice(cleaned, F.lit(1), (first - 1).cast("int"))).otherwise(cleaned)
-    low = lambda b: F.lower(b["text"])
-    shown = F.filter(before, lambda b: ~F.exists(F.array(*[F.lit(c) for c in CONTROLS]), lambda c: F.contains(low(b), c)) & (F.length(b["text"]) >= MIN_BLOCK))
-    texts = F.transform(shown, lambda b: b["text"])
-    single = F.transform(F.filter(F.transform(texts, lambda t, i: F.struct(t.alias("t"), (F.when(i == 0, F.lit(None)).otherwise(F.get(texts, i - 1))).alias("before"))), lambda x: x["before"].isNull() | (x["before"] != x["t"])), lambda x: x["t"])
+    before = let(F.array_position(stops, F.lit(True)), lambda first: F.when(first > 0, F.slice(cleaned, F.lit(1), (first - 1).cast("int"))).otherwise(cleaned))
+    control = lambda b: F.exists(F.array(*[F.lit(c) for c in CONTROLS]), lambda c: F.contains(F.lower(b["text"]), c))
+    shown = F.filter(before, lambda b: (F.length(b["text"]) >= MIN_BLOCK) & ~control(b))
+    single = let(F.transform(shown, lambda b: b["text"]), lambda texts: F.filter(texts, lambda t, i: (i == 0) | (t != F.get(texts, i - 1))))
     return strip(F.array_join(single, "\n\n"))
 
 
