@@ -144,6 +144,12 @@ def slices(at: np.ndarray, most: int = SLICEBYTES) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
+def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts in a column have about SLICE_BYTES."""
+    for lo, hi in slices(buffers(batch.column(column))[1]):
+        yield batch.slice(lo, hi - lo)
+
+
 class Words:
     """The words of some texts: hash, first byte, end byte; `at` has each text's first word (n + 1 entries)."""
 

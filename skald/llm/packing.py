@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from skald.llm.common import settle, tidy
+from skald.llm.common import parts, settle, tidy
 from skald.llm.tokens import BytePairs, default_path
 
 #: Pieces that are numbered together.
@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, *, tokenizer: str, cap: int = 2048, end_id: int = 0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = BytePairs.load(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             ids, at = ended(bpe, batch.column(1), end_id)
             row, number, start, length = cut(np.diff(at), cap)
             begin = at[row] + start

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import keys, mix, settle, tidy
+from skald.llm.common import keys, mix, parts, settle, tidy
 from skald.llm.packing import ended
 from skald.llm.tokens import BytePairs, default_path
 
@@ -70,7 +70,7 @@ def shard_name(shard: int) -> str:
 
 def _print(col: pa.Array, before: int) -> int:
     """A running fingerprint of document ids."""
-    return zlib.crc32("\n".join(map(str, col.to_pylist())).encode(), before)
+    return zlib.crc32("".join(f"{x}\n" for x in col.to_pylist()).encode(), before)
 
 
 def write(docs: DataFrame, path: str, *, key: int = 20240229, tokenizer: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS, end_id: int = 0, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,7 +93,7 @@ def _write(docs: DataFrame, path: str, key: int, bpe_path: str, length: int, sha
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, mark, part = 0, 0, TaskContext.get().partitionId()
         bpe = BytePairs.load(bpe_path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             total += int(bpe.encode(batch.column(1))[1][-1]) + batch.num_rows
             mark = _print(batch.column(0), mark)
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([-(-total // length)]), pa.array([mark])], names=["part", "n", "mark"])
@@ -132,7 +132,7 @@ def _write(docs: DataFrame, path: str, key: int, bpe_path: str, length: int, sha
             return out
 
         kind_arrow = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             kind_arrow = batch.column(0).type
             mark = _print(batch.column(0), mark)
             ids, at = ended(bpe, batch.column(1), end_id)

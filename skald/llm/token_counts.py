@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from skald.llm.common import tidy
+from skald.llm.common import parts, tidy
 from skald.llm.tokens import BytePairs, default_path
 
 GROUPS = ["source", "lang", "tokenizer"]
@@ -45,7 +45,7 @@ def bpe_counts(docs: DataFrame, *, tokenizer: str | None = None, version: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = BytePairs.load(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, len(kept))):
             _, at = bpe.encode(batch.column(len(kept)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(at))], names=schema.names)
 
