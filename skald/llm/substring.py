@@ -9,7 +9,7 @@ Words are runs of digits, a-z (A-Z lower-cased) and characters outside ASCII.
    each of them, not all pairs among them; minima are pre-aggregated and
    adaptive execution splits what a frequent seed deals.
 2. Of each pair, the words of both documents (16-bit hashes) meet in one row.
-   Common K-word matches are joined into diagonal runs, runs are chained in
+   Common K-word matches, all occurrences, are joined into diagonal runs, runs are chained in
    order with a gap cost through a Fenwick tree of prefix maxima, chains are
    split where either side has a long gap, aligned word by word in their gaps
    and over their ends, and kept if they have MIN_WORDS words of which
@@ -37,6 +37,8 @@ from skald.llm.common import ALNUM, Words, buffers, drop, grams, inside_rows, sc
 from skald.llm.decontaminate import winnow
 
 K, PICK, SEEDS, MIN_WORDS, SIMILAR, MAX_GAP, GAP_COST = 5, 16, 2, 45, 0.8, 24, 0.1
+#: Matches of one shingle that an alignment takes all.
+FREQUENT = 64
 
 SPAN = "struct<start:int,end:int,source_id:{id},source_start:int,source_end:int,similarity:double>"
 
@@ -65,31 +67,49 @@ class Fenwick:
         return value, what
 
 
-def runs(a: np.ndarray, b: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
+def _met(x: np.ndarray, y: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in x, in y) of equal hashes: all of a hash with at most most of them; with most None one for every place in x."""
+    ox, oy = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+    sx, sy = x[ox], y[oy]
+    lo, hi = np.searchsorted(sy, sx), np.searchsorted(sy, sx, "right")
+    first = np.searchsorted(sx, sx)
+    n = hi - lo
+    if most is None:
+        hit = n > 0
+        nth = np.arange(len(sx)) - first
+        return ox[hit], oy[lo[hit] + nth[hit] % n[hit]]
+    n = np.where(n * (np.searchsorted(sx, sx, "right") - first) <= most, n, 0)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(ox, n), oy[np.repeat(lo, n) + nth]
+
+
+def runs(a: np.ndarray, b: np.ndarray, k: int = K, least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """Diagonal runs (first shingle in a, in b, how many shingles) of common k-word shingles.
 
-    A shingle that repeats is matched in order of occurrence, so n and m
-    repeats make min(n, m) matches.
+    A shingle meets all its occurrences, unless n in a and m in b make more
+    than FREQUENT matches. For those the shingles of least words count, each
+    of which is a passage by itself: every one in a meets one in b. Gaps
+    between rarer shingles and ends are aligned word by word in any case.
     """
     x, y = grams(a.astype(np.uint64), k), grams(b.astype(np.uint64), k)
     if not len(x) or not len(y):
         return []
     if len(x) == len(y) and np.array_equal(x, y):
         return [(0, 0, len(x))]
-    ox, oy = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
-    sx, sy = x[ox], y[oy]
-    nth = np.arange(len(sx)) - np.searchsorted(sx, sx)
-    place = np.searchsorted(sy, sx) + nth
-    hit = place < len(sy)
-    hit[hit] = sy[place[hit]] == sx[hit]
-    if not hit.any():
+    at_a, at_b = _met(x, y, FREQUENT)
+    wide = max(least, k)
+    long_a, long_b = _met(grams(a.astype(np.uint64), wide), grams(b.astype(np.uint64), wide), None)
+    if len(long_a):
+        inner = np.arange(wide - k + 1)
+        at_a, at_b = np.append(at_a, (long_a[:, None] + inner).ravel()), np.append(at_b, (long_b[:, None] + inner).ravel())
+    if not len(at_a):
         return []
-    pa_, pb = ox[hit], oy[place[hit]]
-    order = np.argsort(pa_)
-    pa_, pb = pa_[order], pb[order]
-    new = np.flatnonzero(np.append(True, (np.diff(pa_) != 1) | (np.diff(pb) != 1)))
-    size = np.diff(np.append(new, len(pa_)))
-    return list(zip(pa_[new].tolist(), pb[new].tolist(), size.tolist()))
+    n = len(a) + len(b) + 2
+    points = np.unique((at_b - at_a + len(a)) * n + at_a)  # by diagonal, then place
+    new = np.flatnonzero(np.append(True, np.diff(points) != 1))
+    size = np.diff(np.append(new, len(points)))
+    first = points[new] % n
+    return sorted(zip(first.tolist(), (points[new] // n - len(a) + first).tolist(), size.tolist()))
 
 
 def chains(found: list[tuple[int, int, int]], k: int = K, cost: float = GAP_COST) -> list[list[tuple[int, int, int]]]:
@@ -158,12 +178,12 @@ def _grow(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int) -> tuple[int,
     return (grown, matched) if best else (0, 0)
 
 
-def passages(a: np.ndarray, b: np.ndarray, *, k: int = K, least: int = MIN_WORDS, similar: float = SIMILAR, max_gap: int = MAX_GAP) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, source start, source end, similarity) of the passages that a shares with b."""
-    found = runs(a, b, k)
+def _passages(a: np.ndarray, b: np.ndarray, *, k: int = K, least: int = MIN_WORDS, similar: float = SIMILAR, max_gap: int = MAX_GAP) -> list[tuple[int, int, int, int, float]]:
+    """What passages() finds in one go; of passages that lie half or more in better ones none."""
+    found = runs(a, b, k, least)
     if not found or (len(found) < 2 and found[0][2] + k - 1 + 2 * k < least):
         return []
-    out = []
+    out, taken = [], np.zeros(len(a), bool)
     for chain in chains(found, k):
         parts, part = [], [chain[0]]
         for (pa_, pb, pm), r in zip(chain[:-1], chain[1:]):
@@ -187,11 +207,28 @@ def passages(a: np.ndarray, b: np.ndarray, *, k: int = K, least: int = MIN_WORDS
             less, before = _grow(a, b, part[0][0] - 1, part[0][1] - 1, -1)
             start, end, s_start, s_end = part[0][0] - less, at_a + more, part[0][1] - less, at_b + more
             share = (same + matched + before) / max(end - start, s_end - s_start)
-            if end - start >= least and share >= similar:
+            if end - start >= least and share >= similar and 2 * np.count_nonzero(taken[start:end]) < end - start:
+                taken[start:end] = True
                 out.append((start, end, s_start, s_end, share))
     return out
 
 
+def passages(a: np.ndarray, b: np.ndarray, *, k: int = K, least: int = MIN_WORDS, similar: float = SIMILAR, max_gap: int = MAX_GAP) -> list[tuple[int, int, int, int, float]]:
+    """(start, end, source start, source end, similarity) of the passages that a shares with b, every copy in a.
+
+    What the passages leave of a is held against all of b again, until nothing more is found.
+    """
+    out, rest = [], a.astype(np.int64)
+    while found := _passages(rest, b, k=k, least=least, similar=similar, max_gap=max_gap):
+        out += found
+        for start, end, *_ in found:
+            rest[start:end] = -1 - np.arange(start, end)  # equal to no word
+        free = np.flatnonzero(np.diff(np.concatenate([[0], rest >= 0, [0]]).astype(np.int8)))
+        if not len(free) or (free[1::2] - free[::2]).max() < least:
+            break
+    return out
+
+
 def _fingerprints(docs: DataFrame, k: int, pick: int) -> DataFrame:
     """(seed, id): the seeds of each document. docs has id and text."""
     schema = T.StructType([T.StructField("seed", T.LongType()), docs.schema["id"]])

@@ -57,6 +57,22 @@ def test_fuzzy_passages_of_two_documents():
     assert sum(share) / len(share) >= 0.93
 
 
+def test_every_copy_of_a_passage():
+    """A source's passage held three times, its first words alone before it, a long run of one word."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(100, 60000, n).astype(np.uint16)
+    passage, gaps = fresh(60), [fresh(30) for _ in range(4)]
+    source = np.concatenate([fresh(50), passage, fresh(50)])
+    found = S.passages(np.concatenate([x for g in gaps[:3] for x in (g, passage)] + [gaps[3]]), source)
+    assert sorted(p[:4] for p in found) == [(s, s + 60, 50, 110) for s in (30, 120, 210)]
+    found = S.passages(np.concatenate([gaps[0], passage[:42], gaps[1], passage, gaps[2]]), source)
+    assert [p[:4] for p in found] == [(102, 162, 50, 110)]
+    assert [p[:2] for p in S.passages(np.concatenate([passage, gaps[0]]), np.concatenate([source, source]))] == [(0, 60)]
+    same = np.full(3000, 7, np.uint16)
+    found = S.passages(np.concatenate([gaps[0], same, gaps[1], same, gaps[2]]), np.concatenate([source, same]))
+    assert set().union(*(range(p[0], p[1]) for p in found)) >= {*range(30, 3030), *range(3060, 6060)}
+
+
 def test_report_and_removal(make):
     rng = random.Random(4)
     passage, boiler = words(rng, 70), words(rng, 12)
