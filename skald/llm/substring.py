@@ -4,10 +4,14 @@ Words are runs of digits, a-z (A-Z lower-cased) and characters outside ASCII.
 
 1. Seeds are the K-word shingles that are least in some run of PICK, so a
    shared span of K + PICK - 1 words has a common seed. Every seed belongs to
-   the least document that has it; a document with SEEDS seeds of an owner is
-   a pair. A passage that a third of all documents share makes one pair for
-   each of them, not all pairs among them; minima are pre-aggregated and
-   adaptive execution splits what a frequent seed deals.
+   the least document that has it; a document with SEEDS seeds of an owner,
+   two of them different, is a pair. A passage that a third of all documents
+   share makes one pair for each of them, not all pairs among them. What the
+   passages of those pairs leave of a document is then held against all
+   earlier documents: two shared seeds that bound a stretch of nearly
+   MIN_WORDS words, with no found passage over it, make a pair with every
+   earlier document that has both so; an equal span of MIN_WORDS words
+   always has such a stretch.
 2. Of each pair, the words of both documents (16-bit hashes) meet in one row.
    Common K-word matches, all occurrences, are joined into diagonal runs, runs are chained in
    order with a gap cost through a Fenwick tree of prefix maxima, chains are
@@ -29,11 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import ALNUM, Words, buffers, drop, grams, inside_rows, scratch, settle, slices, spread, tidy
+from skald.llm.common import ALNUM, ODD, Words, buffers, drop, grams, inside_rows, mix, scratch, settle, slices, spread, tidy
 from skald.llm.decontaminate import winnow
 
 K, PICK, SEEDS, MIN_WORDS, SIMILAR, MAX_GAP, GAP_COST = 5, 16, 2, 45, 0.8, 24, 0.1
@@ -67,8 +71,8 @@ class Fenwick:
         return value, what
 
 
-def _met(x: np.ndarray, y: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in x, in y) of equal hashes: all of a hash with at most most of them; with most None one for every place in x."""
+def _met(x: np.ndarray, y: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places (in x, in y) of equal hashes, and whether some were too many: all of a hash with at most most of them; with most None one for every place in x."""
     ox, oy = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
     sx, sy = x[ox], y[oy]
     lo, hi = np.searchsorted(sy, sx), np.searchsorted(sy, sx, "right")
@@ -77,10 +81,11 @@ def _met(x: np.ndarray, y: np.ndarray, most: int | None) -> tuple[np.ndarray, np
     if most is None:
         hit = n > 0
         nth = np.arange(len(sx)) - first
-        return ox[hit], oy[lo[hit] + nth[hit] % n[hit]]
-    n = np.where(n * (np.searchsorted(sx, sx, "right") - first) <= most, n, 0)
+        return ox[hit], oy[lo[hit] + nth[hit] % n[hit]], False
+    more = n * (np.searchsorted(sx, sx, "right") - first) > most
+    n[more] = 0
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(ox, n), oy[np.repeat(lo, n) + nth]
+    return np.repeat(ox, n), oy[np.repeat(lo, n) + nth], bool(more.any())
 
 
 def runs(a: np.ndarray, b: np.ndarray, k: int = K, least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
@@ -96,10 +101,10 @@ def runs(a: np.ndarray, b: np.ndarray, k: int = K, least: int = MIN_WORDS) -> li
         return []
     if len(x) == len(y) and np.array_equal(x, y):
         return [(0, 0, len(x))]
-    at_a, at_b = _met(x, y, FREQUENT)
+    at_a, at_b, frequent = _met(x, y, FREQUENT)
     wide = max(least, k)
-    long_a, long_b = _met(grams(a.astype(np.uint64), wide), grams(b.astype(np.uint64), wide), None)
-    if len(long_a):
+    if frequent:
+        long_a, long_b, _ = _met(grams(a.astype(np.uint64), wide), grams(b.astype(np.uint64), wide), None)
         inner = np.arange(wide - k + 1)
         at_a, at_b = np.append(at_a, (long_a[:, None] + inner).ravel()), np.append(at_b, (long_b[:, None] + inner).ravel())
     if not len(at_a):
@@ -230,8 +235,8 @@ def passages(a: np.ndarray, b: np.ndarray, *, k: int = K, least: int = MIN_WORDS
 
 
 def _fingerprints(docs: DataFrame, k: int, pick: int) -> DataFrame:
-    """(seed, id): the seeds of each document. docs has id and text."""
-    schema = T.StructType([T.StructField("seed", T.LongType()), docs.schema["id"]])
+    """(seed, id, at): the seeds of each document and their first words' places. docs has id and text."""
+    schema = T.StructType([T.StructField("seed", T.LongType()), docs.schema["id"], T.StructField("at", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,8 +245,8 @@ def _fingerprints(docs: DataFrame, k: int, pick: int) -> DataFrame:
                 words = Words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], ALNUM)
                 h = grams(words.hash, k)
                 kept = np.flatnonzero(winnow(h, inside_rows(words.at, k, len(h)), pick))
-                row = spread(words.at)[kept] + lo
-                yield pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), batch.column(0).take(pa.array(row))], names=schema.names)
+                row = spread(words.at)[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), batch.column(0).take(pa.array(row + lo)), pa.array((kept - words.at[row]).astype(np.int32))], names=schema.names)
 
     return docs.mapInArrow(tidy(run), schema)
 
@@ -262,20 +267,55 @@ def _word_codes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tidy(run), schema)
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, pick: int = PICK, seeds: int = SEEDS, least: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
-    """id, th (hash of the text) and spans: each document's passages that an earlier document has, by start."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    seed, seed_path = scratch(_fingerprints(rows, k, pick), "seeds")
-    # settled, so that the join reads plain shuffles, whose large partitions can be split
-    owner = settle(seed.groupBy("seed").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("seed", "owner"))
-    pairs = settle(seed.join(owner, "seed").filter("id > owner").groupBy("id", "owner").agg(F.count("*").alias("n")).filter(F.col("n") >= seeds).select("id", "owner"))
-    ids = pairs.select("id").union(pairs.select(F.col("owner").alias("id"))).distinct()
-    words, words_path = scratch(_word_codes(rows.join(ids, "id", "left_semi").select("id", F.xxhash64("text").alias("th"), "text")), "words")
-    words = words.groupBy("id").agg(F.min(F.struct("th", "words")).alias("w")).select("id", "w.th", "w.words")
+def _stretches(mine: DataFrame, found: DataFrame, k: int, pick: int, least: int) -> DataFrame:
+    """(key, id, open): every two different shared seeds of a document that start and end a stretch of nearly least words.
+
+    An equal span of least words has such a stretch. It is open if no found
+    passage has all of it; keys that no document has open, or that one
+    document has alone, are left out.
+    """
+    kind = mine.schema["id"].dataType
+    near, far = max(1, least - k - 2 * (pick - 1)), max(1, least - k)
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind), T.StructField("open", T.BooleanType())])
+    own = mine.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "seed"))).alias("held"))
+    spans = found.groupBy("id").agg(F.count("*").alias("n"), F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"], s["end"])))).alias("spans")).filter("n = 1")  # rows that repeat an id are all open
+    rows = own.join(spans, "id", "left").select("id", F.col("held.at").alias("at"), F.col("held.seed").alias("seed"), F.col("spans.start").alias("start"), F.col("spans.end").alias("end"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, docs, opens, held = [], [], [], 0
+            for r in range(batch.num_rows):
+                at, seed = (np.asarray(batch.column(c)[r].values) for c in (1, 2))
+                lo, hi = np.searchsorted(at, at + near), np.searchsorted(at, at + far, "right")
+                n = hi - lo
+                i = np.repeat(np.arange(len(at)), n)
+                j = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                differ = seed[i] != seed[j]
+                i, j = i[differ], j[differ]
+                inside = np.zeros(len(i), bool)
+                if batch.column(3)[r].is_valid:
+                    for start, end in zip(batch.column(3)[r].as_py(), batch.column(4)[r].as_py()):
+                        inside |= (at[i] >= start) & (at[j] + k <= end)
+                keys.append(mix(seed[i].view(np.uint64) * ODD + seed[j].view(np.uint64)).view(np.int64))
+                docs.append(np.full(len(i), r))
+                opens.append(~inside)
+                held += len(i)
+                if held > 1 << 18 or r == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.concatenate(docs))), pa.array(np.concatenate(opens))], names=schema.names)
+                    keys, docs, opens, held = [], [], [], 0
+
+    holders = Window.partitionBy("key")
+    keyed = rows.mapInArrow(tidy(run), schema).groupBy("key", "id").agg(F.max("open").alias("open"))
+    ends = keyed.select("*", F.max("open").over(holders).alias("any"), F.min("id").over(holders).alias("least"), F.max("id").over(holders).alias("most"))
+    return ends.filter("any and least < most").select("key", "id", "open")
+
+
+def _align(pairs: DataFrame, words: DataFrame, *, k: int, least: int, similar: float) -> DataFrame:
+    """id, th and spans of the passages of each pair (id, owner). words: id, th, words."""
+    kind = words.schema["id"].dataType
     wide = pairs.join(words.select("id", "th", "words"), "id").join(words.select(F.col("id").alias("owner"), F.col("words").alias("source")), "owner")
-    span = T.StructType.fromDDL("x " + SPAN.format(id=docs.schema[id_col].dataType.simpleString()))["x"].dataType
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("th", T.LongType()), *span.fields])
+    span = T.StructType.fromDDL("x " + SPAN.format(id=kind.simpleString()))["x"].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("th", T.LongType()), *span.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,8 +332,33 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, i32), pa.array(end, i32), batch.column(2).take(at), pa.array(s_start, i32), pa.array(s_end, i32), pa.array(share, pa.float64())], names=schema.names)
 
     flat = wide.select("id", "th", "owner", "words", "source").mapInArrow(tidy(run), schema)
-    out = settle(flat.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct(*span.names))).alias("spans")))  # a document's own passages
-    drop(spark, seed_path, words_path)
+    return settle(flat.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct(*span.names))).alias("spans")))  # a document's own passages
+
+
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, pick: int = PICK, seeds: int = SEEDS, least: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
+    """id, th (hash of the text) and spans: each document's passages that an earlier document has, by start."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+    holders = Window.partitionBy("seed")
+    shared = _fingerprints(rows, k, pick).select("*", F.min("id").over(holders).alias("owner"), F.max("id").over(holders).alias("last"))
+    mine, mine_path = scratch(shared.filter("owner < last").select("seed", "id", "at", "owner"), "seeds")
+
+    ends = mine.filter("id > owner").groupBy("id", "owner").agg(F.count("*").alias("n"), F.min("seed").alias("low"), F.max("seed").alias("high"))
+    pairs = settle(ends.filter((F.col("n") >= seeds) & ((F.col("low") < F.col("high")) | F.lit(seeds < 2))).select("id", "owner"))
+    ids = mine.select("id").distinct()
+    words, words_path = scratch(_word_codes(rows.join(ids, "id", "left_semi").select("id", F.xxhash64("text").alias("th"), "text")), "words")
+    words = words.groupBy("id").agg(F.min(F.struct("th", "words")).alias("w")).select("id", "w.th", "w.words")
+    options = {"k": k, "least": least, "similar": similar}
+    first = _align(pairs, words, **options)
+    # stretches outside what was found meet all other earlier holders
+    held, held_path = scratch(_stretches(mine, first, k, pick, least), "stretches")
+    met = held.filter("open").select("key", "id").join(held.select("key", F.col("id").alias("owner")), "key").filter("id > owner").select("id", "owner").distinct()
+    more = settle(met.join(pairs, ["id", "owner"], "left_anti"))
+    out = first
+    if not more.isEmpty():
+        both = first.union(_align(more, words, **options))
+        out = settle(both.groupBy("id", "th").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")))
+    drop(spark, mine_path, words_path, held_path)
     return out
 
 

@@ -97,6 +97,18 @@ def test_report_and_removal(make):
     assert " ".join(own[9][:38]) in left[9]["text"] and " ".join(own[9][43:]) in left[9]["text"]
 
 
+def test_true_source_behind_earlier_holders(make):
+    """Two earlier documents hold a passage's lines singly; its true source is later than both."""
+    rng, rows, true = random.Random(6), [], set()
+    for n in range(0, 200, 5):
+        lines = [words(rng, 26), words(rng, 26)]
+        held = [lines[0], lines[1], lines[0] + lines[1], lines[0], lines[0] + lines[1]]
+        rows += [(n + i, " ".join(words(rng, 40) + x + words(rng, 40))) for i, x in enumerate(held)]
+        true.add((n + 4, n + 2))
+    got = {(r["doc_id"], r["source_id"]) for r in S.repeats(make(rows)).collect()}
+    assert got == true
+
+
 def test_odd_rows(odd, make):
     got = S.report(odd).collect()
     assert len(got) == odd.count()
