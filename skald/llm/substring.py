@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from skald.llm.common import ALNUM, ODD, Words, buffers, drop, grams, inside_rows, mix, scratch, settle, slices, spread, tidy
 from skald.llm.decontaminate import winnow
 
-K, PICK, SEEDS, MIN_WORDS, SIMILAR, MAX_GAP, GAP_COST = 5, 16, 2, 45, 0.8, 24, 0.1
+K, PICK, SEEDS, MIN_WORDS, SIMILAR, MAX_GAP, GAP_COST = 5, 4, 2, 45, 0.8, 24, 0.1
 #: Matches of one shingle that an alignment takes all.
 FREQUENT = 64
 

@@ -1,6 +1,7 @@
 """Passages: planted ones are found and cut, clean text stays; the chain against a plain search."""
 
 import random
+import zlib
 
 import numpy as np
 
@@ -109,6 +110,22 @@ def test_true_source_behind_earlier_holders(make):
     assert got == true
 
 
+def test_find_meets_edited_passages(make):
+    """Every passage with replaced words that the alignment accepts is also met by its seeds."""
+    rng, rows, sure = random.Random(8), [], set()
+    code = lambda text: np.array([zlib.crc32(w.encode()) & 0xFFFF for w in text], np.uint16)
+    for n in range(0, 600, 2):
+        passage = words(rng, (52, 60, 80)[n // 2 % 3])
+        edited = [words(rng, 1)[0] if rng.random() < (0.08, 0.1, 0.15)[n // 6 % 3] else w for w in passage]
+        a, b = (words(rng, 30) + x + words(rng, 30) for x in (edited, passage))
+        rows += [(n, " ".join(b)), (n + 1, " ".join(a))]
+        if S.passages(code(a), code(b)):
+            sure.add((n + 1, n))
+    got = {(r["doc_id"], r["source_id"]) for r in S.repeats(make(rows)).collect()}
+    print("edited passages:", len(rows) // 2, "aligned:", len(sure), "found:", len(got & sure))
+    assert len(got & sure) >= 0.98 * len(sure) > 200
+
+
 def test_odd_rows(odd, make):
     got = S.report(odd).collect()
     assert len(got) == odd.count()
