@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of least id."""
-    return neardup.deduplicate(docs, percent=80, bands=14, slack=24)
+    """One document of each near-duplicate group stays: the one of least id. Rows without an id stay."""
+    return neardup.deduplicate(docs, percent=80, bands=14, slack=24, nameless=True)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

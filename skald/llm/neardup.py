@@ -258,10 +258,16 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     return out
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, one of each group; rows that repeat an id leave one."""
-    info = settle(groups(docs, id_col=id_col, **options).groupBy(id_col).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).filter("_kept"))
-    kept = docs.join(info, id_col).select(*docs.columns, "_n")
-    if info.filter("_n > 1").isEmpty():
-        return kept.drop("_n")
-    return kept.filter("_n = 1").drop("_n").union(kept.filter("_n > 1").drop("_n").dropDuplicates([id_col]))
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", nameless: bool = False, **options) -> DataFrame:
+    """The documents, one of each group; rows with a null id stay if nameless is true.
+
+    Where ids repeat, each different text of an id is a document of its own,
+    and equal rows of an id and text leave one.
+    """
+    named, rest = docs.filter(F.col(id_col).isNotNull()), docs.filter(F.col(id_col).isNull() & F.lit(nameless))
+    if docs.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():
+        info = settle(groups(named, id_col=id_col, text_col=text_col, **options).filter("kept").select(id_col))
+        return named.join(info, id_col).select(*docs.columns).union(rest)
+    named = named.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th")))
+    info = settle(groups(named, id_col="_key", text_col=text_col, **options).filter("kept").select("_key").distinct())
+    return named.join(info, "_key").dropDuplicates(["_key"]).select(*docs.columns).union(rest)

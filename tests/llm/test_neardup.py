@@ -73,3 +73,10 @@ def test_components_of_chains(spark):
     links = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in links]
     got = {r["node"]: r["component"] for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 103: 100}
+
+
+def test_deduplicate_keeps_null_ids_and_other_texts_of_an_id(make):
+    texts = [" ".join(f"{c}{i * 7 % 31}x{i}" for i in range(40)) for c in "abcde"]
+    rows = [(1, texts[0]), (2, texts[1]), (5, texts[0]), (5, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (None, texts[0]), (None, "a clean one")]
+    left = [(r["doc_id"], r["text"]) for r in N.deduplicate(make(rows), nameless=True).collect()]
+    assert sorted(left, key=str) == sorted([rows[i] for i in (0, 1, 3, 4, 5, 7, 8)], key=str)
