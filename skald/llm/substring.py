@@ -268,11 +268,11 @@ def _word_codes(docs: DataFrame) -> DataFrame:
 
 
 def _stretches(mine: DataFrame, found: DataFrame, k: int, pick: int, least: int) -> DataFrame:
-    """(key, id, open): every two different shared seeds of a document that start and end a stretch of nearly least words.
+    """(key, id, open, owner): every two different shared seeds of a document that start and end a stretch of nearly least words.
 
     An equal span of least words has such a stretch. It is open if no found
-    passage has all of it; keys that no document has open, or that one
-    document has alone, are left out.
+    passage has all of it; keys that no later document has open are left out,
+    and of two holders the later gets the other as owner, without a key.
     """
     kind = mine.schema["id"].dataType
     near, far = max(1, least - k - 2 * (pick - 1)), max(1, least - k)
@@ -304,10 +304,12 @@ def _stretches(mine: DataFrame, found: DataFrame, k: int, pick: int, least: int)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.concatenate(docs))), pa.array(np.concatenate(opens))], names=schema.names)
                     keys, docs, opens, held = [], [], [], 0
 
+    # one shuffle; a key of two documents is their pair, only keys of more have to be joined
     holders = Window.partitionBy("key")
-    keyed = rows.mapInArrow(tidy(run), schema).groupBy("key", "id").agg(F.max("open").alias("open"))
-    ends = keyed.select("*", F.max("open").over(holders).alias("any"), F.min("id").over(holders).alias("least"), F.max("id").over(holders).alias("most"))
-    return ends.filter("any and least < most").select("key", "id", "open")
+    keyed = rows.mapInArrow(tidy(run), schema).repartition("key").groupBy("key", "id").agg(F.max("open").alias("open"))
+    ends = keyed.select("*", F.count("*").over(holders).alias("n"), F.min("id").over(holders).alias("least"), F.max(F.when(F.col("open"), F.col("id"))).over(holders).alias("most"))
+    ends = ends.filter("least < most and (n > 2 or open and id > least)")
+    return ends.select(F.when(F.col("n") > 2, F.col("key")).alias("key"), "id", "open", F.when(F.col("n") == 2, F.col("least")).alias("owner"))
 
 
 def _align(pairs: DataFrame, words: DataFrame, *, k: int, least: int, similar: float) -> DataFrame:
@@ -342,6 +344,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     holders = Window.partitionBy("seed")
     shared = _fingerprints(rows, k, pick).select("*", F.min("id").over(holders).alias("owner"), F.max("id").over(holders).alias("last"))
     mine, mine_path = scratch(shared.filter("owner < last").select("seed", "id", "at", "owner"), "seeds")
+    spark._jvm.System.gc()  # the cleaner drops the shuffle of all seeds, here and below
 
     ends = mine.filter("id > owner").groupBy("id", "owner").agg(F.count("*").alias("n"), F.min("seed").alias("low"), F.max("seed").alias("high"))
     pairs = settle(ends.filter((F.col("n") >= seeds) & ((F.col("low") < F.col("high")) | F.lit(seeds < 2))).select("id", "owner"))
@@ -350,9 +353,13 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     words = words.groupBy("id").agg(F.min(F.struct("th", "words")).alias("w")).select("id", "w.th", "w.words")
     options = {"k": k, "least": least, "similar": similar}
     first = _align(pairs, words, **options)
+    spark._jvm.System.gc()
     # stretches outside what was found meet all other earlier holders
     held, held_path = scratch(_stretches(mine, first, k, pick, least), "stretches")
-    met = held.filter("open").select("key", "id").join(held.select("key", F.col("id").alias("owner")), "key").filter("id > owner").select("id", "owner").distinct()
+    spark._jvm.System.gc()
+    several = held.filter("key is not null")
+    met = several.filter("open").select("key", "id").join(several.select("key", F.col("id").alias("owner")), "key").filter("id > owner").select("id", "owner")
+    met = met.union(held.filter("owner is not null").select("id", "owner")).distinct()
     more = settle(met.join(pairs, ["id", "owner"], "left_anti"))
     out = first
     if not more.isEmpty():
