@@ -180,11 +180,12 @@ def stem(token: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """A size with two decimals in the largest unit that leaves it under 1024."""
-    out = F.format_string("%.2f PB", n / 1024.0**5)
+    """A size with two decimals (of a tie the even one) in the largest unit that leaves it under 1024."""
+    shown = lambda x, unit: F.concat(F.replace(F.format_number(x, 2), F.lit(","), F.lit("")), F.lit(f" {unit}"))
+    out = shown(n / 1024.0**5, "PB")
     for i, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
         x = n / F.lit(1024.0**i)
-        out = F.when(x < 1024, F.format_string(f"%.2f {unit}", x)).otherwise(out)
+        out = F.when(x < 1024, shown(x, unit)).otherwise(out)
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skald.functions import text as X
+from skald.sources.shared import settle
 
 
 def tokenize(corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "clean_text", analyzer: str = "unicode") -> DataFrame:
@@ -37,13 +38,24 @@ def docs_index(corpus: DataFrame, tokens: DataFrame, *, id_col: str = "doc_id")
 
 
 def running_sum(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """rows with the sum of value over all rows of smaller key: ranges are summed on their own, then shifted."""
+    """rows with the sum of value over all rows before them in the order of key.
+
+    Rows are dealt out by ranges of key, summed inside each range and settled
+    once, so that the ranges that are shifted are those that were summed.
+    Rows of equal keys follow each other in any order; sums are whole numbers.
+    """
     ranged = rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
     inside = W.partitionBy("_part").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
-    local = ranged.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    totals = local.groupBy("_part").agg(F.sum(value).alias("_total"))  # a row for each range
-    shift = totals.withColumn("_shift", F.coalesce(F.sum("_total").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_total")
-    return local.join(F.broadcast(shift), "_part").withColumn(name, (F.col("_local") + F.col("_shift")).cast("long")).drop("_part", "_local", "_shift")
+    local = settle(ranged.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0))))
+    totals = local.groupBy("_part").agg(F.sum(value).alias("_total"))
+    return _shifted(local, totals, (F.col("_local") + F.col("_shift")).cast("long").alias(name)).drop("_local")
+
+
+def _shifted(local: DataFrame, totals: DataFrame, out: Column) -> DataFrame:
+    """local with out, in which _shift is the total of the ranges before a row's own. totals: a row for each range."""
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shift = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
+    return local.join(F.broadcast(shift), "_part").select("*", out).drop("_part", "_shift")
 
 
 def stem_tokens(tokens: DataFrame) -> DataFrame:
@@ -75,16 +87,15 @@ def stem_freq(terms: DataFrame) -> DataFrame:
 def ranked(terms: DataFrame) -> DataFrame:
     """rank, term, freq: numbered from 1 by falling frequency, then term.
 
-    Rows are ordered by ranges of (freq, term), numbered inside each range and
-    shifted by the sizes of the ranges before, so the vocabulary never meets
-    in one task.
+    Rows are sorted by ranges of (freq, term) and settled once with their
+    place in their range; the sizes of the ranges before are added. The
+    vocabulary never meets in one task, and is shuffled once.
     """
-    keyed = terms.select("term", "freq", (-F.col("freq")).alias("_k"))
-    ranged = keyed.repartitionByRange(F.col("_k"), F.col("term")).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy("_k", "term")))
-    totals = local.groupBy("_part").agg(F.count("*").alias("_total"))  # a row for each range
-    shift = totals.withColumn("_shift", F.coalesce(F.sum("_total").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_total")
-    return local.join(F.broadcast(shift), "_part").select((F.col("_n") + F.col("_shift")).cast("long").alias("rank"), "term", "freq")
+    placed = terms.select("term", "freq").orderBy(F.desc("freq"), "term").withColumn("_at", F.monotonically_increasing_id())
+    # the id has the partition in its upper bits and the row's place there in the 33 others
+    local = settle(placed).select("term", "freq", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_n"))
+    totals = local.groupBy("_part").agg((F.max("_n") + 1).alias("_total"))
+    return _shifted(local, totals, (F.col("_n") + F.col("_shift") + 1).cast("long").alias("rank")).select("rank", "term", "freq")
 
 
 def zipf(terms: DataFrame) -> DataFrame:

@@ -120,3 +120,17 @@ def test_scalars(spark):
     assert sizes == ["0.00 B", "1023.00 B", "1.00 KB", "1.00 MB", "5.00 PB"]
     assert column(spark, ["0.30103", "100", "2.5", "1234567"], lambda c: X.six_digits(c.cast("double"))) == ["0.30103", "100", "2.5", "1.23457e+06"]
     assert column(spark, ["http://ru.wikipedia.org/x", "https://old.bigenc.ru/y", "http://other.org", None], X.detect_source) == ["wikipedia", "bre", "bre", "bre"]
+
+
+def test_sizes_round_as_the_exact_value_does(spark):
+    values = [*range(0, 5000), *(n * 997 for n in range(1000, 3000)), 1152 << 10, 3 << 49, (1 << 60) + 12345]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", X.human_bytes(F.col("v")).alias("out")).collect()
+
+    def plain(x):
+        for unit in ("B", "KB", "MB", "GB", "TB"):
+            if x < 1024:
+                return f"{x:.2f} {unit}"
+            x /= 1024
+        return f"{x:.2f} PB"
+
+    assert {r["v"]: r["out"] for r in rows} == {float(v): plain(float(v)) for v in values}
