@@ -10,14 +10,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+
+from skald.sources.shared import drop, scratch, settle, shared_dir
+
+__all__ = ["drop", "scratch", "settle", "shared_dir"]
 
 #: Bytes of text that a scan handles at once (a longer document makes a slice of its own).
 SLICEBYTES = 4 << 20
@@ -25,39 +26,6 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a fresh folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skald-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; Spark's cleaner drops it with its last use."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as Parquet in the shared folder, and its path for drop()."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/skald-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Remove tables that scratch() wrote."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 #: What else a worker can give back between tasks.
 AT_REST: list = []
 

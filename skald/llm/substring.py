@@ -4,17 +4,19 @@ Words are runs of digits, a-z (A-Z lower-cased) and characters outside ASCII.
 
 1. Seeds are the K-word shingles that are least in some run of PICK, so a
    shared span of K + PICK - 1 words has a common seed. Every seed belongs to
-   the least document that has it; a document with SEEDS seeds of an owner,
-   two of them different, is a pair. A passage that a third of all documents
-   share makes one pair for each of them, not all pairs among them. What the
-   passages of those pairs leave of a document is then held against all
-   earlier documents: two shared seeds that bound a stretch of nearly
-   MIN_WORDS words, with no found passage over it, make a pair with every
-   earlier document that has both so; an equal span of MIN_WORDS words
-   always has such a stretch.
+   the least document that has it; a later document with SEEDS different seeds
+   of an owner makes a pair with it. Beside its seeds a document has windows,
+   the MIN_WORDS words from each seed on; the least document with a window makes
+   a pair with each later one. So a passage that a third of all documents share
+   makes one pair for each of them, not all pairs among them, and of a verbatim
+   span of MIN_WORDS + PICK - 1 words at least MIN_WORDS are found whoever else
+   holds parts of it: it has a window, and the window's owner has all of that.
+   What these pairs leave of shared seeds gets new owners, the least of the
+   documents in which the seed is left, for edited passages behind other
+   holders of their seeds.
 2. Of each pair, the words of both documents (16-bit hashes) meet in one row.
-   Common K-word matches, all occurrences, are joined into diagonal runs, runs are chained in
-   order with a gap cost through a Fenwick tree of prefix maxima, chains are
+   Common K-word matches, all occurrences, are joined into diagonal runs, runs
+   are chained in order with a gap cost through a Fenwick tree of prefix maxima, chains are
    split where either side has a long gap, aligned word by word in their gaps
    and over their ends, and kept if they have MIN_WORDS words of which
    SIMILAR match.
@@ -33,14 +35,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skald.llm.common import ALNUM, ODD, Words, buffers, drop, grams, inside_rows, mix, scratch, settle, slices, spread, tidy
 from skald.llm.decontaminate import winnow
 
-K, PICK, SEEDS, MIN_WORDS, SIMILAR, MAX_GAP, GAP_COST = 5, 4, 2, 45, 0.8, 24, 0.1
+K, PICK, SEEDS, MIN_WORDS, SIMILAR, MAX_GAP, GAP_COST = 5, 8, 2, 45, 0.8, 24, 0.1
+_ODD_INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 #: Matches of one shingle that an alignment takes all.
 FREQUENT = 64
 
@@ -234,9 +237,17 @@ def passages(a: np.ndarray, b: np.ndarray, *, k: int = K, least: int = MIN_WORDS
     return out
 
 
-def _fingerprints(docs: DataFrame, k: int, pick: int) -> DataFrame:
-    """(seed, id, at): the seeds of each document and their first words' places. docs has id and text."""
-    schema = T.StructType([T.StructField("seed", T.LongType()), docs.schema["id"], T.StructField("at", T.IntegerType())])
+def windows(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n words from each place on: differences of one running sum of powers."""
+    power = np.cumprod(np.append(np.uint64(1), np.full(len(h), ODD, np.uint64)))
+    back = np.cumprod(np.append(np.uint64(1), np.full(len(h), _ODD_INVERSE, np.uint64)))
+    total = np.append(np.uint64(0), np.cumsum(h * power[:-1]))
+    return mix((total[at + n] - total[at]) * back[at])
+
+
+def _fingerprints(docs: DataFrame, k: int, pick: int, least: int) -> DataFrame:
+    """(seed, id, at, window): the seeds of each document, their first words' places, and the hash of the least words from there on (null if there are fewer). docs has id and text."""
+    schema = T.StructType([T.StructField("seed", T.LongType()), docs.schema["id"], T.StructField("at", T.IntegerType()), T.StructField("window", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,11 +257,26 @@ def _fingerprints(docs: DataFrame, k: int, pick: int) -> DataFrame:
                 h = grams(words.hash, k)
                 kept = np.flatnonzero(winnow(h, inside_rows(words.at, k, len(h)), pick))
                 row = spread(words.at)[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), batch.column(0).take(pa.array(row + lo)), pa.array((kept - words.at[row]).astype(np.int32))], names=schema.names)
+                short = kept + least > words.at[row + 1]
+                wide = np.zeros(len(kept), np.int64)
+                wide[~short] = windows(words.hash, kept[~short], least).view(np.int64)
+                cols = [pa.array(h[kept].view(np.int64)), batch.column(0).take(pa.array(row + lo)), pa.array((kept - words.at[row]).astype(np.int32)), pa.array(wide, mask=short)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.mapInArrow(tidy(run), schema)
 
 
+def _owned(rows: DataFrame, key: str) -> DataFrame:
+    """key and owner, the least of its ids, for each key that several ids have. Settled, so that what joins it reads plain shuffles, whose large partitions can be split."""
+    return settle(rows.groupBy(key).agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select(key, "owner"))
+
+
+def _pairs(rows: DataFrame, seeds: int) -> DataFrame:
+    """(id, owner): later documents with enough different seeds of an owner. rows: id, owner, seed."""
+    ends = rows.filter("id > owner").groupBy("id", "owner").agg(F.count("*").alias("n"), F.min("seed").alias("low"), F.max("seed").alias("high"))
+    return ends.filter((F.col("n") >= seeds) & ((F.col("low") < F.col("high")) | F.lit(seeds < 2))).select("id", "owner")
+
+
 def _word_codes(docs: DataFrame) -> DataFrame:
     """id, th, words: 16 bits of each word's hash. docs has id, th and text."""
     schema = T.StructType([docs.schema["id"], docs.schema["th"], T.StructField("words", T.BinaryType())])
@@ -267,51 +293,6 @@ def _word_codes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tidy(run), schema)
 
 
-def _stretches(mine: DataFrame, found: DataFrame, k: int, pick: int, least: int) -> DataFrame:
-    """(key, id, open, owner): every two different shared seeds of a document that start and end a stretch of nearly least words.
-
-    An equal span of least words has such a stretch. It is open if no found
-    passage has all of it; keys that no later document has open are left out,
-    and of two holders the later gets the other as owner, without a key.
-    """
-    kind = mine.schema["id"].dataType
-    near, far = max(1, least - k - 2 * (pick - 1)), max(1, least - k)
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind), T.StructField("open", T.BooleanType())])
-    own = mine.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "seed"))).alias("held"))
-    spans = found.groupBy("id").agg(F.count("*").alias("n"), F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"], s["end"])))).alias("spans")).filter("n = 1")  # rows that repeat an id are all open
-    rows = own.join(spans, "id", "left").select("id", F.col("held.at").alias("at"), F.col("held.seed").alias("seed"), F.col("spans.start").alias("start"), F.col("spans.end").alias("end"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, docs, opens, held = [], [], [], 0
-            for r in range(batch.num_rows):
-                at, seed = (np.asarray(batch.column(c)[r].values) for c in (1, 2))
-                lo, hi = np.searchsorted(at, at + near), np.searchsorted(at, at + far, "right")
-                n = hi - lo
-                i = np.repeat(np.arange(len(at)), n)
-                j = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                differ = seed[i] != seed[j]
-                i, j = i[differ], j[differ]
-                inside = np.zeros(len(i), bool)
-                if batch.column(3)[r].is_valid:
-                    for start, end in zip(batch.column(3)[r].as_py(), batch.column(4)[r].as_py()):
-                        inside |= (at[i] >= start) & (at[j] + k <= end)
-                keys.append(mix(seed[i].view(np.uint64) * ODD + seed[j].view(np.uint64)).view(np.int64))
-                docs.append(np.full(len(i), r))
-                opens.append(~inside)
-                held += len(i)
-                if held > 1 << 18 or r == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.concatenate(docs))), pa.array(np.concatenate(opens))], names=schema.names)
-                    keys, docs, opens, held = [], [], [], 0
-
-    # one shuffle; a key of two documents is their pair, only keys of more have to be joined
-    holders = Window.partitionBy("key")
-    keyed = rows.mapInArrow(tidy(run), schema).repartition("key").groupBy("key", "id").agg(F.max("open").alias("open"))
-    ends = keyed.select("*", F.count("*").over(holders).alias("n"), F.min("id").over(holders).alias("least"), F.max(F.when(F.col("open"), F.col("id"))).over(holders).alias("most"))
-    ends = ends.filter("least < most and (n > 2 or open and id > least)")
-    return ends.select(F.when(F.col("n") > 2, F.col("key")).alias("key"), "id", "open", F.when(F.col("n") == 2, F.col("least")).alias("owner"))
-
-
 def _align(pairs: DataFrame, words: DataFrame, *, k: int, least: int, similar: float) -> DataFrame:
     """id, th and spans of the passages of each pair (id, owner). words: id, th, words."""
     kind = words.schema["id"].dataType
@@ -341,31 +322,25 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     """id, th (hash of the text) and spans: each document's passages that an earlier document has, by start."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    holders = Window.partitionBy("seed")
-    shared = _fingerprints(rows, k, pick).select("*", F.min("id").over(holders).alias("owner"), F.max("id").over(holders).alias("last"))
-    mine, mine_path = scratch(shared.filter("owner < last").select("seed", "id", "at", "owner"), "seeds")
-    spark._jvm.System.gc()  # the cleaner drops the shuffle of all seeds, here and below
-
-    ends = mine.filter("id > owner").groupBy("id", "owner").agg(F.count("*").alias("n"), F.min("seed").alias("low"), F.max("seed").alias("high"))
-    pairs = settle(ends.filter((F.col("n") >= seeds) & ((F.col("low") < F.col("high")) | F.lit(seeds < 2))).select("id", "owner"))
-    ids = mine.select("id").distinct()
-    words, words_path = scratch(_word_codes(rows.join(ids, "id", "left_semi").select("id", F.xxhash64("text").alias("th"), "text")), "words")
-    words = words.groupBy("id").agg(F.min(F.struct("th", "words")).alias("w")).select("id", "w.th", "w.words")
+    shared = _fingerprints(rows, k, pick, least)
+    owners = _owned(shared.select("seed", "id"), "seed")
+    mine, mine_path = scratch(shared.join(owners, "seed"), "seeds")
+    wide = mine.filter("window is not null").select("window", "id")
+    held = wide.join(_owned(wide, "window"), "window").filter("id > owner").select("id", "owner")
+    pairs = settle(_pairs(mine, seeds).union(held).distinct())
+    coded = _word_codes(rows.join(mine.select("id").distinct(), "id", "left_semi").select("id", F.xxhash64("text").alias("th"), "text"))
+    words, words_path = scratch(coded.groupBy("id").agg(F.min(F.struct("th", "words")).alias("w")).select("id", "w.th", "w.words"), "words")
     options = {"k": k, "least": least, "similar": similar}
     first = _align(pairs, words, **options)
-    spark._jvm.System.gc()
-    # stretches outside what was found meet all other earlier holders
-    held, held_path = scratch(_stretches(mine, first, k, pick, least), "stretches")
-    spark._jvm.System.gc()
-    several = held.filter("key is not null")
-    met = several.filter("open").select("key", "id").join(several.select("key", F.col("id").alias("owner")), "key").filter("id > owner").select("id", "owner")
-    met = met.union(held.filter("owner is not null").select("id", "owner")).distinct()
-    more = settle(met.join(pairs, ["id", "owner"], "left_anti"))
+    # seeds outside what was found; their owners' own stay with them
+    inside = F.exists("spans", lambda s: (s["start"] <= F.col("at")) & (F.col("at") + k <= s["end"]))
+    rest, rest_path = scratch(mine.filter("id <> owner").select("id", "seed", "at").join(first.select("id", "spans"), "id", "left").filter(~F.coalesce(inside, F.lit(False))).select("id", "seed"), "rest")
+    more = settle(_pairs(rest.join(_owned(rest, "seed"), "seed"), seeds).join(pairs, ["id", "owner"], "left_anti"))
     out = first
     if not more.isEmpty():
         both = first.union(_align(more, words, **options))
         out = settle(both.groupBy("id", "th").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")))
-    drop(spark, mine_path, words_path, held_path)
+    drop(spark, mine_path, words_path, rest_path)
     return out
 
 

@@ -110,6 +110,43 @@ def test_true_source_behind_earlier_holders(make):
     assert got == true
 
 
+def test_verbatim_spans_against_all_pairs(make):
+    """Of every span of MIN_WORDS + PICK - 1 words that any earlier document has, found by trying all pairs, MIN_WORDS are covered."""
+    rng, least = random.Random(9), S.MIN_WORDS + S.PICK - 1
+    pool = [words(rng, rng.randint(20, 120)) for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            passage = rng.choice(pool)
+            a = rng.randrange(len(passage))
+            parts += words(rng, rng.randint(0, 30)) + passage[a : a + rng.randint(10, 120)]
+        texts.append(parts)
+    held: dict[tuple, int] = {}
+    for i, text in enumerate(texts):
+        for p in range(len(text) - least + 1):
+            held.setdefault(tuple(text[p : p + least]), i)
+    spans = [(i, p) for i, text in enumerate(texts) for p in range(len(text) - least + 1) if held[tuple(text[p : p + least])] < i]
+    assert len({i for i, _ in spans}) > 20
+    covered: dict[int, set] = {}
+    for r in S.repeats(make([(i, " ".join(t)) for i, t in enumerate(texts)])).collect():
+        assert r["source_id"] < r["doc_id"] and r["similarity"] >= S.SIMILAR
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    few = [(i, p) for i, p in spans if len(covered.get(i, set()).intersection(range(p, p + least))) < S.MIN_WORDS]
+    assert not few
+
+
+def test_halves_of_a_passage_in_other_documents(make):
+    """The first half and the rest stand in two early documents; the whole passage, once more and edited, in later ones."""
+    rng = random.Random(10)
+    whole = words(rng, 70)
+    edited = [words(rng, 1)[0] if i % 13 == 6 else w for i, w in enumerate(whole)]
+    pad = lambda x: " ".join(words(rng, 20) + x + words(rng, 20))
+    got = {(r["doc_id"], r["source_id"]): r["end"] - r["start"] for r in S.repeats(make([(1, pad(whole[:35])), (2, pad(whole[35:])), (10, pad(whole)), (11, pad(whole)), (12, pad(edited))])).collect()}
+    assert set(got) == {(11, 10), (12, 10)}
+    assert got[11, 10] == 70 and got[12, 10] >= 60
+
+
 def test_find_meets_edited_passages(make):
     """Every passage with replaced words that the alignment accepts is also met by its seeds."""
     rng, rows, sure = random.Random(8), [], set()
