@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from skald.sources.shared import drop, scratch, settle, shared_dir
 
@@ -26,6 +28,39 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores at its end as it takes to be no column's (case does not count)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(columns: list[str], *new: str) -> list[str]:
+    """The columns that an operator's new ones do not replace (case does not count)."""
+    return [c for c in columns if c.lower() not in {n.lower() for n in new}]
+
+
+def extended(df: DataFrame, run, fields: list[T.StructField]) -> DataFrame:
+    """df with new columns at its end: run gets batches of df's columns (by place; their names may be anything) and yields them with the new ones."""
+    old = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)]
+    schema = T.StructType([*old, *(T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields))])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=schema.names)
+
+    return df.toDF(*(f.name for f in old)).mapInArrow(tidy(named), schema).toDF(*df.columns, *(f.name for f in fields))
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark's expressions take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 #: What else a worker can give back between tasks.
 AT_REST: list = []
 

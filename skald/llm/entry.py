@@ -26,7 +26,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def list_events(pages: DataFrame) -> DataFrame:
-    """A dated list about the pages' hosts, drawn by hash: half of the hosts are blocked at some day, most of these released later; a fifth of the top-level parts and some first path steps are listed too."""
+    """A dated list about the pages' hosts, drawn by hash: half of the hosts are blocked at some day, most of these released later; a fifth of the top-level parts and some first path steps are listed too. Added hosts are written with a capital."""
     number = lambda x, n: F.pmod(F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"), F.lit(n))
     host = url_filters.host(F.col("url"))
     hosts = pages.select(host.alias("entry")).filter("entry is not null").distinct()
@@ -36,7 +36,8 @@ def list_events(pages: DataFrame) -> DataFrame:
     chosen = chosen.union(parents.filter(number(F.col("entry"), 5) == 0).select("entry", F.lit("parents"), F.lit("block")))
     chosen = chosen.union(steps.filter(number(F.col("entry"), 4) == 0).select("entry", F.lit("paths"), F.lit("allow")))
     start = number(F.concat("entry", F.lit("+")), 400)
-    added = chosen.select("*", F.lit("add").alias("action"), F.timestamp_seconds(F.lit(1_704_067_200) + start * 86_400).alias("at"))
+    written = F.concat(F.upper(F.substring("entry", 1, 1)), F.substring("entry", 2, 1 << 30)).alias("entry")
+    added = chosen.select(written, "list", "verdict", F.lit("add").alias("action"), F.timestamp_seconds(F.lit(1_704_067_200) + start * 86_400).alias("at"))
     length = number(F.concat("entry", F.lit("-")), 500) + 1
     removed = chosen.filter(number(F.concat("entry", F.lit("-")), 3) > 0).select("*", F.lit("remove"), F.timestamp_seconds(F.lit(1_704_067_200) + (start + length) * 86_400))
     return added.union(removed)
@@ -126,15 +127,13 @@ WITH p AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_seconds(((page_id %
   list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS steps FROM pages),
 hosts AS (SELECT DISTINCT host AS entry FROM p WHERE host IS NOT NULL),
 chosen AS (
-  SELECT entry, 'hosts' AS list, 'block' AS verdict FROM hosts WHERE CAST('0x' || substr(md5(entry), 1, 8) AS BIGINT) % 2 = 0
-  UNION ALL SELECT * FROM (SELECT DISTINCT regexp_replace(entry, '^[^.]*\.', '') AS entry, 'parents', 'block' FROM hosts) WHERE CAST('0x' || substr(md5(entry), 1, 8) AS BIGINT) % 5 = 0
-  UNION ALL SELECT * FROM (SELECT DISTINCT host || '/' || steps[1] AS entry, 'paths', 'allow' FROM p WHERE host IS NOT NULL AND len(steps) > 0) WHERE CAST('0x' || substr(md5(entry), 1, 8) AS BIGINT) % 4 = 0),
-v AS (SELECT lower(entry) AS entry, verdict, TIMESTAMP '2024-01-01' + to_days(CAST(CAST('0x' || substr(md5(entry || '+'), 1, 8) AS BIGINT) % 400 AS INTEGER)) AS f,
+  SELECT entry, 'block' AS verdict, false AS path FROM hosts WHERE CAST('0x' || substr(md5(entry), 1, 8) AS BIGINT) % 2 = 0
+  UNION ALL SELECT * FROM (SELECT DISTINCT regexp_replace(entry, '^[^.]*\.', '') AS entry, 'block', false FROM hosts) WHERE CAST('0x' || substr(md5(entry), 1, 8) AS BIGINT) % 5 = 0
+  UNION ALL SELECT * FROM (SELECT DISTINCT host || '/' || steps[1] AS entry, 'allow', true FROM p WHERE host IS NOT NULL AND len(steps) > 0) WHERE CAST('0x' || substr(md5(entry), 1, 8) AS BIGINT) % 4 = 0),
+v AS (SELECT entry, verdict, path, TIMESTAMP '2024-01-01' + to_days(CAST(CAST('0x' || substr(md5(entry || '+'), 1, 8) AS BIGINT) % 400 AS INTEGER)) AS f,
   CASE WHEN CAST('0x' || substr(md5(entry || '-'), 1, 8) AS BIGINT) % 3 > 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(CAST('0x' || substr(md5(entry || '+'), 1, 8) AS BIGINT) % 400 + CAST('0x' || substr(md5(entry || '-'), 1, 8) AS BIGINT) % 500 + 1 AS INTEGER)) END AS t FROM chosen),
-k AS (SELECT DISTINCT page_id, fetched_at, unnest(list_concat(
-  list_transform(generate_series(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-  list_transform(generate_series(1, len(steps)), lambda i: host || '/' || array_to_string(steps[1:i], '/')))) AS entry FROM p WHERE host IS NOT NULL),
-m AS (SELECT page_id, k.entry, verdict FROM k JOIN v ON k.entry = v.entry AND f <= fetched_at AND (t IS NULL OR fetched_at < t)),
+m AS (SELECT page_id, entry, verdict FROM p JOIN v ON f <= fetched_at AND coalesce(fetched_at < t, true)
+  AND CASE WHEN path THEN starts_with(host || '/' || array_to_string(steps, '/') || '/', entry || '/') ELSE ends_with('.' || host, '.' || entry) END),
 best AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n, row_number() OVER (PARTITION BY page_id ORDER BY length(entry) DESC, (verdict = 'block') DESC, entry DESC) AS r FROM m)
 SELECT p.page_id, p.url, p.fetched_at, p.host, CAST(coalesce(n, 0) AS BIGINT) AS n_active, best.entry AS decided_by, coalesce(verdict = 'block', false) AS blocked
 FROM p LEFT JOIN best ON p.page_id = best.page_id AND r = 1

@@ -1,6 +1,7 @@
 """URL lists in time, token-count deltas, shards in training order."""
 
 import datetime as dt
+import time
 import zlib
 from collections import Counter
 
@@ -43,6 +44,27 @@ def test_lists_as_of_the_fetch(spark, events, most):
     assert url_filters.judge(captures.limit(0), events).count() == 0
 
 
+def test_entries_in_any_case_and_clashing_columns(spark):
+    rows = [("h.org/Docs//x/", "l", "block", "add", day(0)), ("Bad.org", "l", "block", "add", day(0)), ("bad.ORG", "l", "block", "remove", day(5)), ("h.org/b", "l", "block", "add", day(0))]
+    events = spark.createDataFrame(rows, "entry string, list string, verdict string, action string, at timestamp")
+    cases = [("http://H.org/Docs/x/y", 1, True), ("http://h.org//Docs/x", 1, True), ("http://h.org/docs/x", 1, False), ("http://h.org/Docs/xy", 1, False), ("http://sub.bad.org", 4, True), ("http://bad.org", 6, False), ("http://h.org/b", 1, True), ("http://h.org/", 1, False)]
+    captures = spark.createDataFrame([(i, u, day(d), "a", 7, True, "c", "d", "e") for i, (u, d, _) in enumerate(cases)], "page_id long, url string, fetched_at timestamp, Host string, n_active int, blocked boolean, decided_by string, _u string, `a.b` string")
+    out = url_filters.judge(captures, events)
+    assert out.columns == ["page_id", "url", "fetched_at", "_u", "a.b", "host", "n_active", "decided_by", "blocked"]
+    got = {r["page_id"]: r for r in out.collect()}
+    assert {i: r["blocked"] for i, r in got.items()} == {i: b for i, (_, _, b) in enumerate(cases)}
+    assert got[0]["host"] == "h.org" and got[0]["decided_by"] == "h.org/Docs/x" and got[0]["_u"] == "d"
+
+
+def test_a_very_long_url(spark):
+    """Its keys take time in proportion to its length."""
+    events = spark.createDataFrame([("h.org/a", "l", "block", "add", day(0)), ("h.org/a/a/a/a", "l", "allow", "add", day(0))], "entry string, list string, verdict string, action string, at timestamp")
+    captures = spark.createDataFrame([(1, "http://h.org" + "/a" * 200_000, day(1)), (2, "http://" + "a." * 50_000 + "h.org/a", day(1))], "page_id long, url string, fetched_at timestamp")
+    began = time.time()
+    got = {r["page_id"]: (r["n_active"], r["blocked"]) for r in url_filters.judge(captures, events).select("page_id", "n_active", "blocked").collect()}
+    assert got == {1: (2, False), 2: (0, False)} and time.time() - began < 20
+
+
 def test_url_and_rollup_queries_equal_sql(spark):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
