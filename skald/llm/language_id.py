@@ -14,18 +14,24 @@ n-gram the log-probability under every language; contexts likewise with their
 back-off weights. A text gets the language of least cross-entropy a symbol.
 Its score is a calibrated probability (logistic regression of "was right" on
 margin and length over calibration rows that no count has seen). It is
-rejected when its cross-entropy lies further above that language's than any
-calibration row's does, in standard errors and by four fifths of itself, or
-when it has no letter.
-
-Fitting reads at most about `rows_per_language` rows a language (ROWS; a
-deterministic sample by hash of the id), which bounds what the driver holds;
-everything that is predicted is predicted from whole texts.
-
-Defined results: a null text or one without letters is `und`, score 0,
-rejected; a table without labelled text makes everything `und`; equal
-cross-entropies go to the language first in alphabetical order; repeated rows
-get equal results; columns of other names are passed through untouched.
+rejected when it has no letter, or when its cross-entropy lies so many standard
+errors above its language's that a share of REJECTED of calibration rows would
+lie there: the quantile among these rows, or if that is higher the point at
+which an exponential tail through their upper TAIL has that share left.
+
+Fitting reads at most about `rows_per_language` rows and `bytes_per_language`
+bytes of text a language (ROWS, BYTES; whole rows, a deterministic sample by
+hash of the id) and takes at most `max_languages` languages, and fails if a
+table has more. This bounds what the driver holds and broadcasts: a float for
+each language and different n-gram of the sample. Everything that is predicted
+is predicted from whole texts.
+
+Defined results: a null text or one without letters (code points of the
+categories L) is `und`, score 0, rejected; marks count only behind a letter; a
+table without labelled text makes everything `und`; equal cross-entropies go
+to the language first in alphabetical order; repeated rows get equal results;
+columns named lang_pred, score, margin, entropy or rejected are replaced, all
+others are passed through untouched; accepted() adds and replaces none.
 """
 
 from __future__ import annotations
@@ -39,36 +45,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import buffers, mix, slices, tidy
+from skald.llm.common import buffers, extended, mix, others, quoted, slices, tidy, unused
 
-ORDER, BITS, ROWS = 5, 12, 4000
+ORDER, BITS, ROWS, BYTES, LANGUAGES = 5, 12, 4000, 16 << 20, 256
+REJECTED, TAIL = 0.001, 0.05
 UNKNOWN = "und"
 _OWN = 0x700
 _TABLE = 0x20000
 
 
-def _codes() -> np.ndarray:
-    """The symbol of each code point under 0x20000, 0 if it is no letter or mark."""
-    out = np.zeros(_TABLE, np.uint16)
-    for cp in range(_TABLE):
-        if unicodedata.category(chr(cp))[0] in "LM":
-            low = chr(cp).lower()
-            c = ord(low[0])
-            out[cp] = c if c < _OWN else _OWN + (c * 40503 >> 4) % (4096 - _OWN)
-    return out
+def _code(point: int) -> int:
+    """The symbol of a code point, 0 if it is no letter or mark."""
+    if unicodedata.category(chr(point))[0] not in "LM":
+        return 0
+    c = ord(chr(point).lower()[0])
+    return c if c < _OWN else _OWN + (c * 40503 >> 4) % (4096 - _OWN)
 
 
 _CODES: list[np.ndarray] = []
 
 
+def _tables() -> list[np.ndarray]:
+    """The symbol of each code point under _TABLE, and which are marks."""
+    if not _CODES:
+        _CODES.append(np.array([_code(p) for p in range(_TABLE)], np.uint16))
+        _CODES.append(np.array([unicodedata.category(chr(p))[0] == "M" for p in range(_TABLE)]))
+    return _CODES
+
+
 def symbols(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of some texts, one 0 after each word, and where each text's begin."""
-    if not _CODES:
-        _CODES.append(_codes())
+    codes, marks = _tables()
     text = bytes(np.insert(raw, at[1:], 10)).decode("utf-8", "replace")
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = _CODES[0][np.minimum(points, _TABLE - 1)]
-    code[points >= _TABLE] = _OWN + (points[points >= _TABLE] * 40503 >> 4) % (4096 - _OWN)
+    low = np.minimum(points, _TABLE - 1)
+    code, mark = codes[low], marks[low]
+    high = np.flatnonzero(points >= _TABLE)
+    if high.size:
+        kinds, which = np.unique(points[high], return_inverse=True)
+        code[high] = np.array([_code(p) for p in kinds.tolist()], np.uint16)[which]
+        mark[high] = np.array([unicodedata.category(chr(p))[0] == "M" for p in kinds.tolist()])[which]
+    if mark.any():  # a word begins with a letter
+        place = np.arange(len(points))
+        letter = np.maximum.accumulate(np.where((code != 0) & ~mark, place, -1))
+        gap = np.maximum.accumulate(np.where(code == 0, place, -1))
+        code[mark & (letter <= gap)] = 0
     ends = _text_ends(raw, at, points)
     keep = code != 0
     keep[1:] |= code[:-1] != 0
@@ -184,7 +205,6 @@ class Model:
         self.weights = np.array([0.0, 4.0, 0.5])
         self.mean = self.spread = np.zeros(len(languages))
         self.wide, self.limit = 1.0, np.inf
-        self.ceiling = np.full(len(languages), np.inf)
 
     def log_p(self, key: np.ndarray) -> np.ndarray:
         """log P of each top-order n-gram under each language."""
@@ -237,18 +257,17 @@ class Model:
             return
         own = h[np.arange(len(h)), truth]
         long = many >= np.median(many)
-        for i in range(len(self.languages)):
-            x = own[(truth == i) & long]
-            if len(x):
-                self.mean[i : i + 1] = x.mean()
-        mean = np.array([own[(truth == i)].mean() if (truth == i).any() else own.mean() for i in range(len(self.languages))])
+        mean = np.array([own[truth == i].mean() if (truth == i).any() else own.mean() for i in range(len(self.languages))])
         self.mean = mean
-        self.spread = np.array([max(0.05, own[(truth == i) & long].std()) if ((truth == i) & long).sum() > 1 else 0.3 for i in range(len(self.languages))])
+        square = np.where(long, (own - mean[truth]) ** 2, 0.0)
+        pooled = square.sum() / long.sum()
+        n = np.bincount(truth[long], minlength=len(self.languages))
+        own_sum = np.bincount(truth, square, minlength=len(self.languages))
+        self.spread = np.maximum(0.05, np.sqrt((own_sum + 30 * pooled) / (n + 30)))  # languages with few rows lean on all
         excess = (own - mean[truth]) ** 2 - self.spread[truth] ** 2
         self.wide = max(0.5, float(np.mean(np.maximum(excess, 0) * many)))
         best, _, _, off = self.judge(h, many)
-        self.limit = max(12.0, 1.5 * float(off.max()))
-        self.ceiling = 1.8 * np.array([own[truth == i].max() if (truth == i).any() else own.max() for i in range(len(self.languages))])
+        self.limit = upper_limit(off)
         right = (best == truth).astype(float)
         ordered = np.sort(h, axis=1)
         margin = ordered[:, 1] - ordered[:, 0] if h.shape[1] > 1 else np.full(len(h), 10.0)
@@ -264,19 +283,32 @@ class Model:
         self.weights = w
 
 
-def _sampled(labelled: DataFrame, id_col: str, lang_col: str, rows: int) -> DataFrame:
-    """About rows rows of each language, by hash of the id: all of a language that has fewer."""
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # a row for each language
+def upper_limit(off: np.ndarray, share: float = REJECTED, tail: float = TAIL) -> float:
+    """What a share of such values exceeds: their quantile, or the exponential tail's through the upper ones if that is higher."""
+    x = np.sort(off)
+    i = int(np.ceil((len(x) + 1) * (1 - share))) - 1
+    start = np.quantile(x, 1 - tail)
+    above = x[x > start] - start
+    mean = above.mean() * (1 + 2 / np.sqrt(len(above))) if len(above) else 1.0  # two standard errors of it up: few rows tell little of a tail
+    fitted = start + mean * np.log(tail / share)
+    return float(max(fitted, x[min(i, len(x) - 1)]))
+
+
+def _sampled(labelled: DataFrame, id_col: str, lang_col: str, text_col: str, rows: int, size: int, most: int) -> DataFrame:
+    """About rows rows and size bytes of each language, by hash of the id: all of a language that has fewer."""
+    counts = labelled.groupBy(lang_col).agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("b")).limit(most + 1).collect()  # a row for each language
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages; raise max_languages if the driver can hold their models")
     if not counts:
         return labelled.limit(0)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))])
+    share = F.create_map(*[x for k, n, b in counts for x in (F.lit(k), F.lit(min(1.0, rows / n, size / max(1, b))))])
     return labelled.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < F.element_at(share, F.col(lang_col)) * 1_000_000)
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS, order: int = ORDER) -> Model | None:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS, bytes_per_language: int = BYTES, max_languages: int = LANGUAGES, order: int = ORDER) -> Model | None:
     """A model of the labelled rows of docs, or None if there are none. A fifth of the sample calibrates."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    chosen = _sampled(labelled, "id", "lang", rows_per_language).withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(5)) == 0)
+    chosen = _sampled(labelled, "id", "lang", "text", rows_per_language, bytes_per_language, max_languages).withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(5)) == 0)
     schema = "lang string, gram long, n long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +347,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score, margin, entropy and rejected; map-only."""
-    new = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("margin", T.DoubleType()), ("entropy", T.DoubleType()), ("rejected", T.BooleanType())]
-    kept = [c for c in docs.columns if c not in {n for n, _ in new}]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*docs.schema, *(T.StructField(n, t) for n, t in new)])
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    kept = others(docs.columns, *(f.name for f in new))
     where = kept.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -333,10 +363,10 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
                 best, score, margin, off = m.judge(h, many)
                 names = [*m.languages, UNKNOWN]
                 least = np.where(many > 0, h.min(axis=1) if n else 0.0, 0.0)
-                cols = [pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score), pa.array(margin), pa.array(least), pa.array((best < 0) | ((off > m.limit) & (least > m.ceiling[best])))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=schema.names)
+                cols = [pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score), pa.array(margin), pa.array(least), pa.array((best < 0) | (off > m.limit))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[str(i) for i in range(batch.num_columns + len(cols))])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return extended(docs.select(*[F.col(quoted(c)) for c in kept]), run, new)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -348,3 +378,11 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Train on the rows of docs that are not held out, then predict all of them from their text alone."""
     model = train(docs.filter(~held_out(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
     return predict(docs, model, text_col=text_col)
+
+
+def accepted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """docs, as they are, without the rows whose language is rejected."""
+    model = train(docs.filter(~held_out(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
+    names = unused(docs.columns, *(f"_c{i}" for i in range(len(docs.columns))))
+    found = predict(docs.toDF(*names), model, text_col=names[docs.columns.index(text_col)])
+    return found.filter("not rejected").select(*names).toDF(*docs.columns)
