@@ -18,7 +18,7 @@ from skald.llm.common import drop, scratch
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go; the others keep their own columns."""
-    return language_id.identify(docs).filter("not rejected").select(*docs.columns)
+    return language_id.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
