@@ -6,9 +6,8 @@ hashed words) is trained to the non-negative unbiased risk
     prior * E_pos[l(z)] + max(0, E_unl[l(-z)] - prior * E_pos[l(-z)])
 
 with the sigmoid loss: trusted positives, unlabelled web text, and the class
-prior, which is estimated as the share of positives among the labelled rows
-or, where only positives are labelled, as the least ratio of unlabelled to
-positive mass above any score. Where the second term falls under zero, its
+prior, which is estimated as the least ratio of unlabelled to positive mass
+above any score of a first network, on rows that this one has not seen. Where the second term falls under zero, its
 gradient step is reversed, as the non-negative estimator asks. Scores are
 scaled to probabilities (Platt) on labelled rows that training has not used.
 
@@ -17,7 +16,8 @@ a bound on what the driver holds. Scoring is map-only and reads whole texts.
 
 Defined results: null and empty texts get a score like any other; a table
 without labelled positives gives every row the score 0.5; a doc_id that labels
-repeat takes its largest label; other columns are passed through.
+repeat takes its largest label; columns named score or predicted are replaced,
+all others are passed through.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import GOLDEN, SPACED, Words, buffers, grams, inside_rows, mix, slices, spread, tidy
+from skald.llm.common import GOLDEN, SPACED, Words, buffers, extended, grams, inside_rows, mix, others, quoted, slices, spread, tidy
 from skald.llm.language_id import held_out
 
 SAMPLE, HIDDEN, HASHED, STEPS = 8000, 24, 128, 600
@@ -133,18 +133,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: in
     xp, xu = net.norm(positive), net.norm(unlabelled)
     rng = np.random.default_rng(seed)
     m, v = [np.zeros_like(q) for q in net.p], [np.zeros_like(q) for q in net.p]
-    loss = lambda z: 1 / (1 + np.exp(np.clip(z, -30, 30)))  # noqa: E731  sigmoid loss l(z)
     for step in range(1, steps + 1):
         p, u = xp[rng.integers(0, len(xp), min(batch, len(xp)))], xu[rng.integers(0, len(xu), min(batch, len(xu)))]
-        lp, lu = loss(net.z(p)), loss(net.z(u))  # l(-z) is 1 - l(z)
-        slope_p, slope_u = lp * (1 - lp) / len(p), lu * (1 - lu) / len(u)
-        negative = (1 - lu).mean() - prior * (1 - lp).mean()
-        # d l(z) / dz = -l (1 - l); d l(-z) / dz = l (1 - l)
-        up, uu = net.gradient(p, slope_p), net.gradient(u, slope_u)
-        if negative >= 0:
-            g = [-2 * prior * a + b for a, b in zip(up, uu)]
-        else:
-            g = [prior * a - b for a, b in zip(up, uu)]
+        g = risk_gradient(net, p, u, prior)
         for i, q in enumerate(net.p):
             grad = g[i] + 1e-4 * q
             m[i] = 0.9 * m[i] + 0.1 * grad
@@ -153,6 +144,18 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: in
     return net
 
 
+def risk_gradient(net: Network, p: np.ndarray, u: np.ndarray, prior: float) -> list[np.ndarray]:
+    """The gradient of the unbiased risk with the sigmoid loss; where its second term is under zero, that of minus this term."""
+    loss = lambda z: 1 / (1 + np.exp(np.clip(z, -30, 30)))  # noqa: E731  l(z); l(-z) is 1 - l(z)
+    lp, lu = loss(net.z(p)), loss(net.z(u))
+    negative = (1 - lu).mean() - prior * (1 - lp).mean()
+    # d l(z) / dz = -l (1 - l); d l(-z) / dz = l (1 - l)
+    up, uu = net.gradient(p, lp * (1 - lp) / len(p)), net.gradient(u, lu * (1 - lu) / len(u))
+    if negative >= 0:
+        return [-2 * prior * a + b for a, b in zip(up, uu)]
+    return [prior * a - b for a, b in zip(up, uu)]
+
+
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Log-odds a * z + b by regularised logistic regression with smoothed targets."""
     ones, zeros = y.sum(), (1 - y).sum()
@@ -199,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if not positive.any() or not unlabelled.any():
         return None
     if prior is None:
-        prior = counts[1] / sum(counts.values()) if counts.get(0) else estimated_prior(*_first_scores(x[positive], x[unlabelled]))
+        prior = class_prior(x, positive, unlabelled & ~calibrates, (y == 1) & calibrates, unlabelled & calibrates)
     net = fit(x[positive], x[unlabelled], min(prior, 0.99))
     judged = calibrates & ~np.isnan(y)
     if judged.any() and len(np.unique(y[judged])) == 2:
@@ -207,26 +210,30 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return net
 
 
-def _first_scores(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of a network that tells positives from unlabelled rows."""
-    net = fit(positive, unlabelled, 0.5)
-    return net.z(net.norm(positive)), net.z(net.norm(unlabelled))
+def class_prior(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, other_positive: np.ndarray, other_unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows: a network tells positive from unlabelled, its scores of other rows of both kinds (if there are 20 each) give the estimate."""
+    if not unlabelled.any():
+        unlabelled = other_unlabelled
+    net = fit(x[positive], x[unlabelled], 0.5)
+    if min(other_positive.sum(), other_unlabelled.sum()) >= 20:
+        positive, unlabelled = other_positive, other_unlabelled
+    return estimated_prior(net.z(net.norm(x[positive])), net.z(net.norm(x[unlabelled])))
 
 
 def score(docs: DataFrame, net: Network | None, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs with score and predicted; map-only."""
-    kept = [c for c in docs.columns if c not in {"score", "predicted"}]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    kept = others(docs.columns, "score", "predicted")
     where = kept.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = shared.value.score(features(batch.column(where))) if shared.value else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
+            cols = [*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=[str(i) for i in range(len(cols))])
 
-    return docs.mapInArrow(tidy(run), schema)
+    new = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return extended(docs.select(*[F.col(quoted(c)) for c in kept]), run, new)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -28,3 +28,16 @@ def odd(make):
     """Nulls, empty and very long texts, ties, repeated rows."""
     long = " ".join(f"w{i * 7919 % 5003}" for i in range(60_000))
     return make([(1, None), (2, ""), (3, " \n\t "), (4, long), (5, long), (6, "one"), (6, "one"), (None, "a null id here"), (7, "!!! ??? ..."), (8, "é日本 İ  x"), (9, "ein zwei drei vier fünf sechs"), (10, "ein zwei drei vier fünf sechs")])
+
+
+@pytest.fixture(scope="session")
+def clash():
+    """A table with columns of every name that the operators use for their own, and one with a dot."""
+    names = "_id _th _spans _key _own _n_words _items _sizes _component tokens tokenizer predicted rejected kept component_id a.b c0 n0 id"
+
+    def build(docs):
+        from pyspark.sql import functions as F
+
+        return docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names.split()})
+
+    return build

@@ -24,7 +24,8 @@ def test_negative_risk_is_not_chased():
     net = C.fit(positive, unlabelled, 2 / 3)
     z = net.z(net.norm(np.concatenate([good[500:], bad[500:]])))
     assert ((z > 0) == (np.arange(len(z)) < 1000)).mean() > 0.95
-    prior = C.estimated_prior(*C._first_scores(positive, unlabelled))
+    x, n = np.concatenate([positive, unlabelled]), np.arange(2000)
+    prior = C.class_prior(x, (n < 500) & (n % 4 > 0), (n >= 500) & (n % 4 > 0), (n < 500) & (n % 4 == 0), (n >= 500) & (n % 4 == 0))
     assert abs(prior - 2 / 3) < 0.12
 
 
@@ -52,3 +53,40 @@ def test_odd_rows(spark, odd, make):
     assert {r["score"] for r in C.classify(odd, labels.filter("quality = 0")).collect()} == {0.5}
     assert C.classify(make([(1, "x")]).limit(0), labels).count() == 0
     assert C.classify(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_columns_of_any_name(odd, clash):
+    got = C.score(clash(odd), None)
+    assert got.columns == [c for c in clash(odd).columns if c not in ("score", "predicted")] + ["score", "predicted"]
+    assert got.filter("predicted <> 0 or score <> 0.5").count() == 0
+
+
+def test_gradient_of_the_risk():
+    """One step's gradient against differences of the non-negative risk itself, on either side of its border."""
+    rng = np.random.default_rng(7)
+    xp, xu = rng.normal(1, 1, (40, 6)), rng.normal(0, 1, (60, 6))
+    loss = lambda z: 1 / (1 + np.exp(z))
+
+    def terms(net):
+        lp, lu = loss(net.z(xp)), loss(net.z(xu))
+        return lp.mean(), (1 - lu).mean() - prior * (1 - lp).mean()
+
+    for prior, sign in ((0.2, 1), (0.95, -1)):
+        net = C.Network(np.zeros(6), np.ones(6), seed=3)
+        if sign < 0:
+            net.p[3][0] = -3.0
+            if terms(net)[1] > 0:  # where unlabelled rows score less, the second term is under zero
+                xp, xu = xu, xp
+        assert np.sign(terms(net)[1]) == sign
+        value = lambda: prior * terms(net)[0] + terms(net)[1] if sign > 0 else -terms(net)[1]
+        got = C.risk_gradient(net, xp, xu, prior)
+        for p, g in zip(net.p, got):
+            flat = p.reshape(-1)
+            for i in rng.choice(flat.size, min(flat.size, 8), replace=False):
+                old, h = flat[i], 1e-5
+                flat[i] = old + h
+                up = value()
+                flat[i] = old - h
+                down = value()
+                flat[i] = old
+                assert abs((up - down) / (2 * h) - g.reshape(-1)[i]) < 1e-6
