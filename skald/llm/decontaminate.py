@@ -72,6 +72,7 @@ class Block:
         item = np.array([number[x] for x in ids], np.int64)
         words = Words(*buffers(col), ALNUM)
         many = np.diff(words.at)
+        self.n_words = np.bincount(item, many, minlength=len(names)).astype(np.int64)
         self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in sorted({int(x) for x in np.minimum(many, span) if x}):
             h = grams(words.hash, size)
@@ -141,10 +142,13 @@ def blocks(benchmark: DataFrame, *, id_col: str, text_col: str, most: int) -> It
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with _n_words, _spans (hit word ranges, end exclusive) and _items (the item ids, as strings, whose windows occur)."""
+    """docs with _n_words, _spans (hit word ranges, end exclusive), _items (the item ids, as strings, whose windows occur) and _sizes (these items' words).
+
+    docs must have no columns of these names; clean() and report() see to that.
+    """
     spark = docs.sparkSession
     plain = docs.columns
-    schema = T.StructType([*docs.schema, T.StructField("_n_words", T.LongType()), T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_items", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*docs.schema, T.StructField("_n_words", T.LongType()), T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_sizes", T.ArrayType(T.LongType()))])
     where = plain.index(text_col)
 
     def step(shared, fresh: bool):
@@ -152,7 +156,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
             block: Block = shared.value
             for batch in batches:
                 raw, at = buffers(batch.column(where))
-                n_words, spans, items = [], [], []
+                n_words, spans, items, sizes = [], [], [], []
                 for lo, hi in slices(at):
                     words = Words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], ALNUM)
                     hit, found = block.scan(words)
@@ -162,11 +166,13 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
                     for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
                         spans.append((np.stack([first[a:b], last[a:b]], axis=1) - words.at[r]).tolist() if b > a else [])
                         items.append([block.names[i] for i in found[r]])
+                        sizes.append(block.n_words[found[r]].tolist())
                 if not fresh:
-                    old_spans, old_items = batch.column(len(plain) + 1).to_pylist(), batch.column(len(plain) + 2).to_pylist()
+                    old_spans, old_items, old_sizes = (batch.column(len(plain) + i).to_pylist() for i in (1, 2, 3))
+                    sizes = [a + b for a, b in zip(old_sizes, sizes)]
                     spans = [join_ranges(a + b) if a else b for a, b in zip(old_spans, spans)]
                     items = [a + b for a, b in zip(old_items, items)]
-                new = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
+                new = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), pa.array(sizes, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(plain)], *new], names=schema.names)
 
         return run
@@ -218,8 +224,16 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, min_items: int = 2, min_run: int = 13, **options) -> DataFrame:
-    """The documents, without those that hold windows of min_items items or a run of min_run hit words."""
-    found = find(docs, benchmark, **options)
-    longest = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: F.greatest(n, s[1] - s[0]))
-    return found.filter((F.size("_items") < min_items) & (longest < min_run)).select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, *, min_items: int = 2, min_run: int = 13, min_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, without those that hold windows of min_items items, a run of min_run hit words, or hit words as many as min_share of an item's.
+
+    Columns keep their names and values, whatever they are called.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names))
+    found = find(docs.toDF(*names), benchmark, id_col=of[id_col], text_col=of[text_col], **options)
+    zero = F.lit(0).cast("long")
+    longest = F.aggregate("_spans", zero, lambda n, s: F.greatest(n, s[1] - s[0]))
+    n_hit = F.aggregate("_spans", zero, lambda n, s: n + s[1] - s[0])
+    most = F.exists("_sizes", lambda n: n_hit >= n * min_share)
+    return found.filter((F.size("_items") < min_items) & (longest < min_run) & ~most).select(*names).toDF(*docs.columns)

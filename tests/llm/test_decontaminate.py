@@ -66,3 +66,19 @@ def test_clean_drops_passages_only(spark, make):
     bench = spark.createDataFrame([(1, passage), (2, "q r s t u v w x y")], "item_id long, text string")
     docs = make([(1, f"before {passage} after"), (2, " ".join(passage.split()[:9]) + " and no more"), (3, "clean text"), (4, None)])
     assert sorted(r["doc_id"] for r in D.clean(docs, bench).collect()) == [2, 3, 4]
+
+
+def test_clean_with_columns_of_any_name(odd, clash, make, spark):
+    docs = clash(odd)
+    bench = spark.createDataFrame([("q", "ein zwei drei vier fünf sechs")], "item_id string, text string")
+    left = D.clean(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["1", "2", "3", "4", "5", "6", "6", "None", "7", "8"])
+
+
+def test_clean_drops_edited_items(make, spark):
+    """A short item with a replaced word has no long run, but most of its words are hit; a chance window of a long one stays."""
+    short, long = [f"w{i}" for i in range(17)], [f"v{i}" for i in range(60)]
+    bench = spark.createDataFrame([("s", " ".join(short)), ("l", " ".join(long))], "item_id string, text string")
+    docs = make([(1, "x y " + " ".join(short[:12] + ["other"] + short[13:]) + " z"), (2, "x y " + " ".join(long[20:29]) + " z"), (3, "clean words only")])
+    assert sorted(r["doc_id"] for r in D.clean(docs, bench).collect()) == [2, 3]
