@@ -30,26 +30,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from skald.llm.common import parts, tidy
+from skald.llm.common import extended, others, parts, quoted
 from skald.llm.tokens import BytePairs, default_path
 
 GROUPS = ["source", "lang", "tokenizer"]
 
 
 def bpe_counts(docs: DataFrame, *, tokenizer: str | None = None, version: str = "byte_bpe_50k", text_col: str = "text") -> DataFrame:
-    """docs without the text, with `tokens`, its number of byte-level BPE ids, and `tokenizer`, the version."""
+    """docs without the text, with `tokens`, its number of byte-level BPE ids, and `tokenizer`, the version; columns of these names are replaced."""
     path = tokenizer or default_path()
-    kept = [c for c in docs.columns if c != text_col]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("tokens", T.LongType())])
-    ordered = docs.select(*kept, F.col(text_col).cast("string"))
+    kept = others(docs.columns, text_col, "tokens", "tokenizer")
+    ordered = docs.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(text_col)).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = BytePairs.load(path)
         for batch in (part for whole in batches for part in parts(whole, len(kept))):
             _, at = bpe.encode(batch.column(len(kept)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(at))], names=schema.names)
+            cols = [*batch.columns[:-1], pa.nulls(batch.num_rows, pa.string()), pa.array(np.diff(at))]  # texts stay behind
+            yield pa.RecordBatch.from_arrays(cols, names=[str(i) for i in range(len(cols))])
 
-    return ordered.mapInArrow(tidy(run), schema).withColumn("tokenizer", F.lit(version))
+    counted = extended(ordered, run, [T.StructField("tokens", T.LongType())])
+    return counted.select(*[F.col(quoted(c)) for c in kept], "tokens", F.lit(version).alias("tokenizer"))
 
 
 def word_counts(docs: DataFrame, *, version: str = "words-1", text_col: str = "text") -> DataFrame:
