@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import SPACED, Words, buffers, drop, grams, keys, mix, scratch, settle, slices, spread, tidy
+from skald.llm.common import SPACED, Words, buffers, drop, grams, keys, mix, quoted, scratch, settle, slices, spread, tidy, unused
 
 SHINGLE, BANDS, ROWS = 5, 10, 3
 #: 64-bit words of a parity sketch.
@@ -166,10 +166,11 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
         # large star: neighbours above a node go to the least of it and its neighbours
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        # minima are settled, so that the joins read plain shuffles and a star with very many links is split
+        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = settle(both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct())
         # small star: a node and its neighbours below go to the least of them
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = settle(large.groupBy("b").agg(F.min("a").alias("m")))
         links = large.join(least, "b").select("m", "a", "b")
         links = settle(links.select(F.col("m").alias("a"), "b").union(links.filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
 
@@ -216,7 +217,7 @@ def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, perc
 
     paths = [table_path]
     centred = table.join(top, "key").filter("node <> centre").groupBy("node").agg(F.max_by("centre", "cw").alias("centre"))
-    star = settle(sift(centred.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()))
+    star = settle(sift(settle(centred.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())))
     sure = confirm(star)
     # keys whose nodes the stars did not join: pairs of their nodes across components, each formed at its first common band
     comp = settle(components(sure))
@@ -262,12 +263,18 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The documents, one of each group; rows with a null id stay if nameless is true.
 
     Where ids repeat, each different text of an id is a document of its own,
-    and equal rows of an id and text leave one.
+    and equal rows of an id and text leave one. Columns keep their names and
+    values, whatever they are called.
     """
-    named, rest = docs.filter(F.col(id_col).isNotNull()), docs.filter(F.col(id_col).isNull() & F.lit(nameless))
-    if docs.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():
-        info = settle(groups(named, id_col=id_col, text_col=text_col, **options).filter("kept").select(id_col))
-        return named.join(info, id_col).select(*docs.columns).union(rest)
-    named = named.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th")))
-    info = settle(groups(named, id_col="_key", text_col=text_col, **options).filter("kept").select("_key").distinct())
-    return named.join(info, "_key").dropDuplicates(["_key"]).select(*docs.columns).union(rest)
+    key, th, own = unused(docs.columns, "_key", "_th", "_own")
+    at = F.col(quoted(id_col))
+    named, rest = docs.filter(at.isNotNull()), docs.filter(at.isNull() & F.lit(nameless))
+    texts = named.select(at.alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    if texts.groupBy("id").count().filter("count > 1").isEmpty():
+        info = settle(groups(texts, id_col="id", text_col="text", **options).filter("kept").select(F.col("id").alias(key)))
+        return named.join(info, at == F.col(key)).select(*[F.col(quoted(c)) for c in docs.columns]).union(rest)
+    keyed = texts.select(F.struct("id", F.xxhash64("text").alias("th")).alias("key"), "text")
+    info = settle(groups(keyed, id_col="key", text_col="text", **options).filter("kept").select(F.col("key.id").alias(key), F.col("key.th").alias(th)).distinct())
+    kept = named.withColumn(own, F.xxhash64(F.col(quoted(text_col)).cast("string")))
+    kept = kept.join(info, (at == F.col(key)) & (F.col(own) == F.col(th)))
+    return kept.dropDuplicates([key, th]).select(*[F.col(quoted(c)) for c in docs.columns]).union(rest)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import ALNUM, ODD, Words, buffers, drop, grams, inside_rows, mix, scratch, settle, slices, spread, tidy
+from skald.llm.common import ALNUM, ODD, Words, buffers, drop, grams, inside_rows, mix, quoted, scratch, settle, slices, spread, tidy
 from skald.llm.decontaminate import winnow
 
 K, PICK, SEEDS, MIN_WORDS, SIMILAR, MAX_GAP, GAP_COST = 5, 8, 2, 45, 0.8, 24, 0.1
@@ -321,7 +321,7 @@ def _align(pairs: DataFrame, words: DataFrame, *, k: int, least: int, similar: f
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, pick: int = PICK, seeds: int = SEEDS, least: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
     """id, th (hash of the text) and spans: each document's passages that an earlier document has, by start."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).filter("id is not null and text is not null")
     shared = _fingerprints(rows, k, pick, least)
     owners = _owned(shared.select("seed", "id"), "seed")
     mine, mine_path = scratch(shared.join(owners, "seed"), "seeds")
@@ -374,11 +374,13 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
-    """docs without the passages that an earlier document has, and without documents of which no word is left; chars_col is counted anew."""
+    """docs without the passages that an earlier document has, and without documents of which no word is left; chars_col is counted anew. Other columns stay, whatever they are called."""
     found = find(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.transform("spans", lambda s: F.array(s["start"], s["end"])).alias("_spans"))
-    joined = docs.join(found, (F.col(id_col) == F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_th")), "left").select(*docs.columns, "_spans")
+    names = [f"c{i}" for i in range(len(docs.columns))]
     where = docs.columns.index(text_col)
     counted = docs.columns.index(chars_col) if chars_col in docs.columns else None
+    same = (F.col(names[docs.columns.index(id_col)]) == F.col("_id")) & (F.xxhash64(F.col(names[where]).cast("string")) == F.col("_th"))
+    joined = docs.toDF(*names).join(found, same, "left").select(*names, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,7 +401,7 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
                     cols[counted] = pc.replace_with_mask(cols[counted], changed, pa.array([len(t or "") for t in texts], cols[counted].type))
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1]).filter(pa.array(keep))
 
-    return joined.mapInArrow(tidy(run), docs.schema)
+    return joined.mapInArrow(tidy(run), joined.drop("_spans").schema).toDF(*docs.columns)
 
 
 def cut_out(raw: np.ndarray, words: Words, spans: list[list[int]]) -> str | None:

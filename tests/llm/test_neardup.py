@@ -80,3 +80,10 @@ def test_deduplicate_keeps_null_ids_and_other_texts_of_an_id(make):
     rows = [(1, texts[0]), (2, texts[1]), (5, texts[0]), (5, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (None, texts[0]), (None, "a clean one")]
     left = [(r["doc_id"], r["text"]) for r in N.deduplicate(make(rows), nameless=True).collect()]
     assert sorted(left, key=str) == sorted([rows[i] for i in (0, 1, 3, 4, 5, 7, 8)], key=str)
+
+
+def test_columns_of_any_name(odd, clash, make):
+    for docs in (clash(odd), clash(make([(1, "a b c d e f"), (2, "a b c d e f")]))):
+        left = N.deduplicate(docs, nameless=True)
+        assert left.columns == docs.columns
+        assert all(r["_key"] == f"_key of {r['doc_id'] or 'none'}" and r["kept"].startswith("kept of") for r in left.collect())

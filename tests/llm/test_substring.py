@@ -172,3 +172,10 @@ def test_odd_rows(odd, make):
     assert left.columns == odd.columns and left.count() == odd.count() - 1
     assert S.report(make([(1, "x")]).limit(0)).count() == 0
     assert S.remove(make([(1, "x")]).limit(0)).count() == 0
+
+
+def test_columns_of_any_name(odd, clash):
+    docs = clash(odd)
+    left = S.remove(docs)
+    assert left.columns == docs.columns
+    assert {(r["doc_id"], r["_spans"], r["a.b"]) for r in left.collect()} == {(i, f"_spans of {i or 'none'}", f"a.b of {i or 'none'}") for i in (None, 1, 2, 3, 4, 6, 7, 8, 9, 10)}
