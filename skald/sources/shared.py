@@ -57,11 +57,11 @@ def settle(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)  # a new plan, for the setting is read when a plan is made
 
 
-def scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as Parquet in the shared folder, and its path for drop()."""
+def scratch(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
+    """df as Parquet in the shared folder (options as for its writer), and its path for drop()."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/skald-{name}-{uuid.uuid4().hex}"
     with _freeing(df.sparkSession):
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
