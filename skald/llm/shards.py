@@ -2,21 +2,21 @@
 
 Documents' token ids, each ended by `end_id`, are joined into one stream for
 each input partition and cut into sequences of `length` ids; a partition's last
-one is padded. A first pass counts each partition's sequences, which gives
-every sequence an index in 0..N-1; a keyed Feistel network over the least even
-number of bits that holds N, walked along its cycle until it falls under N, is
-a permutation and gives each its slot in training order. Shard s holds slots
-s * rows to (s + 1) * rows - 1, at a stride of `length` ids, so a reader finds
-any slot by arithmetic and resumes anywhere.
-
-Each shard is written by one task, slot by slot, to a name of its own and then
-renamed: a task that is tried again replaces the shard by the same bytes. Both
-passes read the same splits, whatever executors come or go in between (their
-number is pinned), and fingerprint their partitions' documents; the second
-fails rather than write if the input itself has changed.
+one is padded. The sequences are written once to the shared folder, so whatever
+becomes of executors or of the input later, they are numbered as they were cut:
+the partitions' counts give every sequence an index in 0..N-1. A keyed Feistel
+network over the least even number of bits that holds N, walked along its cycle
+until it falls under N, is a permutation and gives each its slot in training
+order. Shard s holds slots s * rows to (s + 1) * rows - 1, at a stride of
+`length` ids, so a reader finds any slot by arithmetic and resumes anywhere.
+
+A task writes a range of shards in order, slot by slot, each to a name of its
+own and then renamed: a task that is tried again replaces the shard by the same
+bytes. The tasks are as many as the shards, TASKS at most.
 
 Defined results: a null or empty text adds only its end id; repeated rows are
-written as often as they occur; an empty table gives no sequences and no shard.
+written as often as they occur; an empty table gives no sequences and no shard;
+columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import keys, mix, parts, settle, tidy
+from skald.llm.common import drop, keys, mix, parts, quoted, scratch, settle, tidy
 from skald.llm.packing import ended
 from skald.llm.tokens import BytePairs, default_path
 
-LENGTH, SHARD_ROWS, ROUNDS = 2048, 4096, 6
+LENGTH, SHARD_ROWS, ROUNDS, TASKS = 2048, 4096, 6, 16_384
 
 
 def permute(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -68,48 +68,18 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def _print(col: pa.Array, before: int) -> int:
-    """A running fingerprint of document ids."""
-    return zlib.crc32("".join(f"{x}\n" for x in col.to_pylist()).encode(), before)
-
-
 def write(docs: DataFrame, path: str, *, key: int = 20240229, tokenizer: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS, end_id: int = 0, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards under path; a row for each sequence: slot, shard, byte_offset, n_tokens, ids_crc32 (of its little-endian 32-bit ids, unpadded), first_token (of the first document), doc_ids."""
-    spark = docs.sparkSession
-    pinned = "spark.sql.files.minPartitionNum"
-    before = spark.conf.get(pinned, None)
-    spark.conf.set(pinned, before or str(spark.sparkContext.defaultParallelism))
-    try:
-        return _write(docs, path, key, tokenizer or default_path(), length, shard_rows, end_id, pad_id, id_col, text_col)
-    finally:
-        spark.conf.set(pinned, before) if before else spark.conf.unset(pinned)
-
-
-def _write(docs: DataFrame, path: str, key: int, bpe_path: str, length: int, shard_rows: int, end_id: int, pad_id: int, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
+    spark, bpe_path = docs.sparkSession, tokenizer or default_path()
     kind = docs.schema[id_col].dataType
-    text = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, mark, part = 0, 0, TaskContext.get().partitionId()
-        bpe = BytePairs.load(bpe_path)
-        for batch in (part for whole in batches for part in parts(whole, 1)):
-            total += int(bpe.encode(batch.column(1))[1][-1]) + batch.num_rows
-            mark = _print(batch.column(0), mark)
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([-(-total // length)]), pa.array([mark])], names=["part", "n", "mark"])
-
-    counted = text.mapInArrow(tidy(count), "part long, n long, mark long").filter("n > 0").orderBy("part").collect()  # a row for each input partition
-    first, n = {}, 0
-    for r in counted:
-        first[r["part"]] = (n, r["mark"])
-        n += r["n"]
-    shared = spark.sparkContext.broadcast(first)
+    text = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     wide = 2 if len(BytePairs.load(bpe_path).size) <= 1 << 16 else 4
-    store = T.StructType([T.StructField("slot", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("first_token", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind))])
+    own = [T.StructField("ids", T.BinaryType()), T.StructField("first_token", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind))]
+    stored = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("number", T.LongType()), *own])
+    store = T.StructType([T.StructField("slot", T.LongType()), *own])
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, expected = shared.value.get(TaskContext.get().partitionId(), (0, 0))
-        bpe, mark = BytePairs.load(bpe_path), 0
+        part, bpe = TaskContext.get().partitionId(), BytePairs.load(bpe_path)
         rest, owner, places = np.zeros(0, np.uint32), [], np.zeros(0, np.int64)
         done = 0
 
@@ -124,17 +94,15 @@ def _write(docs: DataFrame, path: str, key: int, bpe_path: str, length: int, sha
                 q = int(np.searchsorted(places, b, "left"))
                 lists.append(owner[p:q])
                 starts.append(a - int(places[p]))
-            slots = permute(np.arange(base + done, base + done + many), n, key)
-            out = pa.RecordBatch.from_arrays([pa.array(slots), pa.array([bytes(data[wide * i * length : wide * (i + 1) * length]) for i in range(many)], pa.binary()), pa.array(starts, pa.int64()), pa.array(lists, pa.list_(kind_arrow))], names=store.names)
+            cols = [pa.array(np.full(many, part, np.int32)), pa.array(np.arange(done, done + many)), pa.array([bytes(data[wide * i * length : wide * (i + 1) * length]) for i in range(many)], pa.binary()), pa.array(starts, pa.int64()), pa.array(lists, pa.list_(kind_arrow))]
             done += many
             p = max(0, int(np.searchsorted(places, many * length, "right")) - 1) if len(places) else 0
             rest, owner, places = rest[many * length :], owner[p:], places[p:] - many * length
-            return out
+            return pa.RecordBatch.from_arrays(cols, names=stored.names)
 
         kind_arrow = None
         for batch in (part for whole in batches for part in parts(whole, 1)):
             kind_arrow = batch.column(0).type
-            mark = _print(batch.column(0), mark)
             ids, at = ended(bpe, batch.column(1), end_id)
             places = np.concatenate([places, len(rest) + at[:-1]])
             owner = owner + batch.column(0).to_pylist()
@@ -142,10 +110,20 @@ def _write(docs: DataFrame, path: str, key: int, bpe_path: str, length: int, sha
             yield cut(False)
         if kind_arrow is not None:
             yield cut(True)
-        if mark != expected:
-            raise RuntimeError("the input changed between the two passes")
 
-    slotted = text.mapInArrow(tidy(sequences), store).withColumn("shard", F.floor(F.col("slot") / shard_rows))
+    cut_up, cut_path = scratch(text.mapInArrow(tidy(sequences), stored), "sequences", compression="zstd")
+    counted = sorted(cut_up.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each input partition
+    n = sum(r["n"] for r in counted)
+    first = np.zeros(counted[-1]["part"] + 1 if counted else 0, np.int64)
+    first[[r["part"] for r in counted]] = np.cumsum([0, *(r["n"] for r in counted)])[:-1]
+    shared = spark.sparkContext.broadcast(first)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index = shared.value[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(permute(index, n, key)), *batch.columns[2:]], names=store.names)
+
+    slotted = cut_up.mapInArrow(tidy(place), store).withColumn("shard", F.floor(F.col("slot") / shard_rows))
     manifest = T.StructType([*(T.StructField(x, T.LongType()) for x in ("slot", "shard", "byte_offset", "n_tokens", "ids_crc32", "first_token")), T.StructField("doc_ids", T.ArrayType(kind))])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +153,12 @@ def _write(docs: DataFrame, path: str, key: int, bpe_path: str, length: int, sha
             yield pa.RecordBatch.from_arrays([*cols, batch.column(2), batch.column(3)], names=manifest.names)
         close()
 
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // shard_rows)))
-    written = slotted.repartition(tasks, "shard").sortWithinPartitions("slot").mapInArrow(tidy(put), manifest)
-    return settle(written)
+    many = max(1, -(-n // shard_rows))
+    each = -(-many // TASKS)  # shards of a task
+    dealt = slotted.repartitionById(-(-many // each), F.floor(F.col("shard") / each).cast("int"))
+    out = settle(dealt.sortWithinPartitions("slot").mapInArrow(tidy(put), manifest))
+    drop(spark, cut_path)
+    return out
 
 
 def read(path: str, slot: int, n: int, *, length: int = LENGTH, shard_rows: int = SHARD_ROWS, wide: int = 2) -> Iterator[np.ndarray]:

@@ -158,3 +158,11 @@ def test_shards_of_odd_rows(odd, make, tmp_path):
     got = shards.write(odd, f"file://{tmp_path}/o", length=4096).toPandas()
     assert got.slot.nunique() == len(got)
     assert shards.write(make([(1, "x")]).limit(0), f"file://{tmp_path}/e").count() == 0
+
+
+def test_shards_of_rows_in_no_fixed_order(spark, make, tmp_path):
+    """Behind a shuffle whose order may change the input is read once: every document is there once."""
+    docs = make([(i, f"text number {i} " * 5) for i in range(40)]).repartition(7).orderBy(F.rand())
+    got = shards.write(docs, f"file://{tmp_path}/out", length=32, shard_rows=8).toPandas()
+    assert sorted(got.slot) == list(range(len(got))) and Counter(d for x in got.doc_ids for d in set(x)).keys() == set(range(40))
+    assert sum(got.n_tokens) == sum(len(x) for x in ([*Tokenizer.from_file(default_path()).encode(f"text number {i} " * 5, add_special_tokens=False).ids, 0] for i in range(40)))
