@@ -33,11 +33,13 @@ def test_scan_finds_the_nearest():
             assert ids[i[j == r]].tolist() == [v for v, _ in want[int(ids[q])]]
 
 
-def test_recall_against_brute_force(spark):
+@pytest.mark.parametrize("sample", [20_000, 400])
+def test_recall_against_brute_force(spark, sample):
+    """With centroids of the one sample, and with those of cells."""
     v = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id")
     table = v.toPandas()
     ids, x = table.vec_id.to_numpy(), np.stack(table.embedding.to_numpy()).astype(float)
-    got = A.search(v, F.col("id") % 5 == 0).toPandas()
+    got = A.search(v, F.col("id") % 5 == 0, sample=sample).toPandas()
     want = exact(ids, x, np.flatnonzero(ids % 5 == 0), 5)
     assert set(got.query_id) == set(want)
     found = sum(len(set(g.vec_id) & {i for i, _ in want[q]}) for q, g in got.groupby("query_id"))
@@ -61,3 +63,15 @@ def test_ties_copies_and_odd_vectors(spark, monkeypatch, chunk):
     assert few[few.query_id == 0].vec_id.tolist() == [1, 100]
     assert A.search(v.limit(0), F.col("id") % 50 == 0).count() == 0
     assert A.search(v.filter("vec_id = 0"), F.col("id") % 50 == 0).count() == 0
+
+
+def test_very_small_and_large_components(spark):
+    """Their squares are 0 or infinite; their cosines are not."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 6))
+    size = 10.0 ** np.where(np.arange(40) % 3 == 0, -200, np.where(np.arange(40) % 3 == 1, 200, 0))
+    v = spark.createDataFrame([(i, (r * s).tolist()) for i, (r, s) in enumerate(zip(x, size))], "vec_id long, embedding array<double>")
+    got = A.search(v, F.col("id") % 10 == 0, recall=1.0).toPandas()
+    want = exact(np.arange(40), x, [0, 10, 20, 30], 5)
+    for q, g in got.sort_values("rank").groupby("query_id"):
+        assert g.vec_id.tolist() == [i for i, _ in want[q]] and np.allclose(g.score, [s for _, s in want[q]], atol=1e-12)
