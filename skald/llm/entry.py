@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skald.llm import ann, decontaminate, language_id, neardup, packing, quality, shards, substring, token_counts, url_filters
-from skald.llm.common import settle, shared_dir
+from skald.llm.common import drop, settle, shared_dir
 from skald.sources.tables import table
 
 
@@ -50,7 +50,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rolled(spark: SparkSession, docs: DataFrame, count) -> DataFrame:
     """Totals after three batches: all documents, then revisions (a seventh of them, one token more) with deletions (an eleventh), tried twice, then half of the deleted again."""
-    store = token_counts.Rollup(spark, f"{shared_dir(spark).rstrip('/')}/skald-rollup-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark).rstrip('/')}/skald-rollup-{uuid.uuid4().hex}"
+    store = token_counts.Rollup(spark, path)
     counted = settle(count(docs))
     store.apply("0", counted.withColumn("kind", F.lit("insert")))
     gone, revised = F.col("doc_id") % 11 == 5, F.col("doc_id") % 7 == 3
@@ -58,7 +59,9 @@ def _rolled(spark: SparkSession, docs: DataFrame, count) -> DataFrame:
     store.apply("1", change)
     store.apply("1", change)
     store.apply("2", counted.filter(F.col("doc_id") % 22 == 5).withColumn("kind", F.lit("insert")))
-    return store.totals()
+    totals = settle(store.totals())
+    drop(spark, path)
+    return totals
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

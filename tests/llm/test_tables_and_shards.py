@@ -81,8 +81,10 @@ def test_url_and_rollup_queries_equal_sql(spark):
 SCHEMA = "doc_id long, kind string, source string, lang string, tokenizer string, tokens long, seq int"
 
 
-def test_deltas_against_a_ledger(spark, tmp_path):
-    store = token_counts.Rollup(spark, str(tmp_path / "roll"))
+@pytest.mark.parametrize("share", [0.0, 0.5, 100.0])
+def test_deltas_against_a_ledger(spark, tmp_path, share):
+    """With a snapshot after every batch, now and then, and hardly ever."""
+    store = token_counts.Rollup(spark, str(tmp_path / "roll"), share=share)
     batches = [
         [(1, "insert", "a", "en", "v1", 10, 0), (2, "insert", "a", "en", "v1", 5, 0), (3, "insert", None, None, "v1", 7, 0), (1, "insert", "a", "en", "v2", 20, 0), (None, "insert", "a", "en", "v1", 1, 0), (4, "odd", "a", "en", "v1", 1, 0)],
         [(1, "revise", "b", "en", "v1", 11, 0), (2, "delete", "a", "en", "v1", None, 0), (9, "delete", "a", "en", "v1", 3, 0), (8, "revise", "a", "de", "v1", None, 0), (3, "insert", None, None, "v1", 9, 1), (3, "delete", None, None, "v1", 9, 0)],
@@ -108,6 +110,7 @@ def test_deltas_against_a_ledger(spark, tmp_path):
             tokens[source, lang, version] += n
         assert {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in store.totals().collect()} == {k: (docs[k], tokens[k]) for k in docs}
     assert store.batches() == ["0", "1", "2", "3"]
+    assert len(store._names("snapshots")) == (3 if share == 0 else len(store._names("snapshots"))) and store._names("snapshots")
     with pytest.raises(ValueError):
         store.apply("../x", changes)
 
