@@ -8,10 +8,13 @@ K-gram at the same place, so joining the kept fingerprints finds every shared
 window. Each joined fingerprint is then extended: the windows around it are
 looked up whole. Items shorter than SPAN are one fingerprint of all their words.
 
-The benchmark is the stated set, held against all documents in blocks of at
-most BLOCK_WORDS words: a block's tables, a few bytes a word, are broadcast,
-and a pass over the documents needs no shuffle. Texts of any number cost time
-in proportion; nothing is gathered from the documents.
+The benchmark is the stated set, held against all documents. Up to BLOCK_WORDS
+words its tables, a few bytes a word, are broadcast, and one pass over the
+documents needs no shuffle. A larger one is joined: only a sieve of 2^SIEVE
+bits over its fingerprints and windows is broadcast, the windows of documents
+that pass it are shuffled (row, place and hash, no texts) and joined with the
+benchmark's, and what they hit comes back to the documents by row. Texts of any
+number cost time in proportion; nothing is gathered from the documents.
 
 Defined results: null text or item has no words and no hits; an item without
 words has no window; repeated rows are reported as often as they occur;
@@ -29,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skald.llm.common import ALNUM, Words, buffers, grams, inside_rows, settle, slices, spread, tidy
+from skald.llm.common import ALNUM, Words, buffers, drop, extended, grams, inside_rows, quoted, scratch, settle, slices, spread, tidy
 
 SPAN, K = 8, 5
 PICK = SPAN - K + 1
 BLOCK_WORDS = 2_000_000
+SIEVE = 27
 
 
 def winnow(h: np.ndarray, ok: np.ndarray, pick: int) -> np.ndarray:
@@ -61,6 +65,16 @@ def lookup(sorted_keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[i] == h, i, -1)
 
 
+def starts(words: Words, row: np.ndarray, span: int, k: int, known) -> np.ndarray:
+    """Where windows of span words can start: around each winnowed k-gram that is known."""
+    h, pick = grams(words.hash, k), span - k + 1
+    kept = np.flatnonzero(winnow(h, inside_rows(words.at, k, len(h)), pick))
+    kept = kept[known(h[kept])]
+    at = np.unique((kept[:, None] - np.arange(pick)).ravel())
+    at = at[(at >= 0) & (at + span <= len(words))]
+    return at[row[at] == row[at + span - 1]]
+
+
 class Block:
     """The windows of some items: by length, the sorted hashes and the items of each; the full windows' fingerprints."""
 
@@ -89,6 +103,12 @@ class Block:
         sieve[(self.marks >> np.uint64(48)).astype(np.int64)] = True
         self.sieve = sieve
 
+    def known(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes are fingerprints of the items."""
+        out = self.sieve[(h >> np.uint64(48)).astype(np.int64)]
+        out[out] = lookup(self.marks, h[out]) >= 0
+        return out
+
     def scan(self, words: Words) -> tuple[np.ndarray, list[np.ndarray]]:
         """Which words are hit, and the items of each text."""
         n, hit = len(words), np.zeros(len(words) + 1, np.int64)
@@ -98,15 +118,8 @@ class Block:
                 h = grams(words.hash, size)
                 at = np.flatnonzero(inside_rows(words.at, size, len(h)))
             else:
-                h = grams(words.hash, self.k)
-                kept = np.flatnonzero(winnow(h, inside_rows(words.at, self.k, len(h)), self.pick))
-                kept = kept[self.sieve[(h[kept] >> np.uint64(48)).astype(np.int64)]]
-                kept = kept[lookup(self.marks, h[kept]) >= 0]
-                at = np.unique((kept[:, None] - np.arange(self.pick)).ravel())
-                at = at[(at >= 0) & (at + size <= n)]
-                at = at[row[at] == row[at + size - 1]]
-                h = np.zeros(0, np.uint64)
-                h = grams_of(words.hash[at[:, None] + np.arange(size)]) if at.size else h[:0]
+                at = starts(words, row, size, self.k, self.known)
+                h = grams_of(words.hash[at[:, None] + np.arange(size)]) if at.size else np.zeros(0, np.uint64)
             which = lookup(keys, h if size == self.span else h[at])
             at, which = at[which >= 0], which[which >= 0]
             np.add.at(hit, at, 1)
@@ -130,62 +143,137 @@ def expand(pairs: np.ndarray, begin: np.ndarray, owner: np.ndarray) -> np.ndarra
     return np.stack([np.repeat(pairs[0], many), owner[place]])
 
 
-def blocks(benchmark: DataFrame, *, id_col: str, text_col: str, most: int) -> Iterator[tuple[list[str], pa.Array]]:
-    """The items, id order, in runs of about most words; the driver holds one run at a time."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sized = items.withColumn("n", F.length("text") + 1)
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    many = max(1, -(-total // (2 * most)))  # a word and a blank are two characters at least
-    for b in range(many):
-        part = (items if many == 1 else items.filter(F.pmod(F.xxhash64("id"), F.lit(many)) == b)).toArrow()
-        yield part.column("id").to_pylist(), part.column("text").combine_chunks()
-
-
 def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with _n_words, _spans (hit word ranges, end exclusive), _items (the item ids, as strings, whose windows occur) and _sizes (these items' words).
 
-    docs must have no columns of these names; clean() and report() see to that.
+    docs must have no columns of these names, nor _row; clean() and report() see to that.
     """
-    spark = docs.sparkSession
-    plain = docs.columns
-    schema = T.StructType([*docs.schema, T.StructField("_n_words", T.LongType()), T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_sizes", T.ArrayType(T.LongType()))])
-    where = plain.index(text_col)
-
-    def step(shared, fresh: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block: Block = shared.value
-            for batch in batches:
-                raw, at = buffers(batch.column(where))
-                n_words, spans, items, sizes = [], [], [], []
-                for lo, hi in slices(at):
-                    words = Words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], ALNUM)
-                    hit, found = block.scan(words)
-                    n_words += np.diff(words.at).tolist()
-                    first, last = ranges(hit, words.at)
-                    cut = np.searchsorted(first, words.at)
-                    for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-                        spans.append((np.stack([first[a:b], last[a:b]], axis=1) - words.at[r]).tolist() if b > a else [])
-                        items.append([block.names[i] for i in found[r]])
-                        sizes.append(block.n_words[found[r]].tolist())
-                if not fresh:
-                    old_spans, old_items, old_sizes = (batch.column(len(plain) + i).to_pylist() for i in (1, 2, 3))
-                    sizes = [a + b for a, b in zip(old_sizes, sizes)]
-                    spans = [join_ranges(a + b) if a else b for a, b in zip(old_spans, spans)]
-                    items = [a + b for a, b in zip(old_items, items)]
-                new = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), pa.array(sizes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(plain)], *new], names=schema.names)
-
-        return run
-
-    out, fresh = docs, True
-    for ids, col in blocks(benchmark, id_col=item_col, text_col=item_text_col, most=block_words):
-        if not fresh:
-            out = settle(out)
-        out = out.mapInArrow(tidy(step(spark.sparkContext.broadcast(Block(ids, col, span, k)), fresh)), schema)
-        fresh = False
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+    letters = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    # a word and a blank are two characters at least
+    return (_by_block if letters <= 2 * block_words else _by_join)(docs, items, docs.columns.index(text_col), span, k)
+
+
+_NEW = [T.StructField("_n_words", T.LongType()), T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_sizes", T.ArrayType(T.LongType()))]
+
+
+def _by_block(docs: DataFrame, items: DataFrame, where: int, span: int, k: int) -> DataFrame:
+    """find() with all items' tables broadcast."""
+    table = items.toArrow()  # BLOCK_WORDS words at most
+    shared = docs.sparkSession.sparkContext.broadcast(Block(table.column("item").to_pylist(), table.column("text").combine_chunks(), span, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Block = shared.value
+        for batch in batches:
+            raw, at = buffers(batch.column(where))
+            n_words, spans, items, sizes = [], [], [], []
+            for lo, hi in slices(at):
+                words = Words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], ALNUM)
+                hit, found = block.scan(words)
+                n_words += np.diff(words.at).tolist()
+                first, last = ranges(hit, words.at)
+                cut = np.searchsorted(first, words.at)
+                for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+                    spans.append((np.stack([first[a:b], last[a:b]], axis=1) - words.at[r]).tolist() if b > a else [])
+                    items.append([block.names[i] for i in found[r]])
+                    sizes.append(block.n_words[found[r]].tolist())
+            cols = [*batch.columns, *(pa.array(x, t) for x, t in zip((n_words, spans, items, sizes), (pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()), pa.list_(pa.int64()))))]
+            yield pa.RecordBatch.from_arrays(cols, names=[str(i) for i in range(len(cols))])
+
+    return extended(docs, run, _NEW)
+
+
+def _windows(items: DataFrame, span: int, k: int) -> DataFrame:
+    """(item, size, h): an item's windows with their numbers of words, its fingerprints (size 0), and its number of words (size -1, in h)."""
+    schema = "item string, size int, h long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = buffers(batch.column(1))
+            for lo, hi in slices(at):
+                words = Words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], ALNUM)
+                many, row = np.diff(words.at), spread(words.at)
+                found = [(np.arange(hi - lo), -1, many.astype(np.uint64))]
+                for size in sorted({int(x) for x in np.minimum(many, span) if x}):
+                    h = grams(words.hash, size)
+                    first = words.at[:-1][many == size] if size < span else np.flatnonzero(inside_rows(words.at, size, len(h)))
+                    found.append((row[first], size, h[first]))
+                h = grams(words.hash, k)
+                kept = np.flatnonzero(winnow(h, inside_rows(words.at, k, len(h)), span - k + 1))
+                found.append((row[kept], 0, h[kept]))
+                for owner, size, value in found:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + lo)), pa.array(np.full(len(owner), size, np.int32)), pa.array(value.view(np.int64))], names=["item", "size", "h"])
+
+    return items.mapInArrow(tidy(run), schema)
+
+
+def sieve(hashes: DataFrame) -> np.ndarray:
+    """A table of 2^SIEVE bits, those of the hashes set; the driver gets its words, not the hashes."""
+    at = F.shiftrightunsigned("h", 64 - SIEVE)
+    bits = hashes.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    words = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (SIEVE - 6), np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
+def passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - SIEVE)
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _by_join(docs: DataFrame, items: DataFrame, where: int, span: int, k: int) -> DataFrame:
+    """find() by a join of the two sides' windows. Rows are numbered once, in the shared folder, and found again by that number."""
+    spark = docs.sparkSession
+    theirs, theirs_path = scratch(_windows(items, span, k), "windows")
+    rows, rows_path = scratch(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    sizes = sorted(r["size"] for r in theirs.filter("size > 0").select("size").distinct().collect())  # span at most
+    tables = spark.sparkContext.broadcast({0: sieve(theirs.filter("size = 0")), 1: sieve(theirs.filter("size > 0"))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, windows = tables.value[0], tables.value[1]
+        for batch in batches:
+            raw, at = buffers(batch.column(1))
+            for lo, hi in slices(at):
+                words = Words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], ALNUM)
+                row = spread(words.at)
+                for size in sizes:
+                    if size < span:
+                        h = grams(words.hash, size)
+                        first = np.flatnonzero(inside_rows(words.at, size, len(h)))
+                        h = h[first]
+                    else:
+                        first = starts(words, row, size, k, lambda x: passes(marks, x))
+                        h = grams_of(words.hash[first[:, None] + np.arange(size)]) if first.size else np.zeros(0, np.uint64)
+                    good = passes(windows, h)
+                    first, h = first[good], h[good]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first] + lo)), pa.array((first - words.at[row[first]]).astype(np.int64)), pa.array(np.full(len(h), size, np.int32)), pa.array(h.view(np.int64))], names=["_row", "start", "size", "h"])
+
+    text = F.col(quoted(docs.columns[where])).cast("string").alias("text")
+    mine = rows.select("_row", text).mapInArrow(tidy(run), "_row long, start long, size int, h long")
+    met = mine.join(theirs.filter("size > 0").distinct(), ["size", "h"])
+    words = theirs.filter("size = -1").groupBy("item").agg(F.sum("h").alias("words"))
+    hits = met.join(words, "item").groupBy("_row").agg(F.collect_set(F.array(F.col("start"), F.col("start") + F.col("size"))).alias("spans"), F.collect_set(F.struct("item", "words")).alias("found"))
+    hits = settle(hits.select("_row", "spans", F.array_sort("found").alias("found")))
+    joined = rows.join(hits, "_row", "left").select(*[F.col(quoted(c)) for c in docs.columns], F.col("spans").alias("_spans"), F.col("found.item").alias("_items"), F.col("found.words").alias("_sizes"))
+
+    own = len(docs.columns)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = buffers(batch.column(where))
+            many = [np.diff(Words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], ALNUM).at) for lo, hi in slices(at)]
+            spans, found, sizes = (batch.column(own + i).to_pylist() for i in range(3))
+            new = [pa.array(np.concatenate(many) if many else np.zeros(0, np.int64)), pa.array([join_ranges(x or []) for x in spans], pa.list_(pa.list_(pa.int64()))), pa.array([x or [] for x in found], pa.list_(pa.string())), pa.array([x or [] for x in sizes], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[str(i) for i in range(batch.num_columns + 4)])
+
+    names = [f"c{i}" for i in range(own)]
+    out = extended(joined.toDF(*names, "_a", "_b", "_c"), finish, _NEW).drop("_a", "_b", "_c").toDF(*docs.columns, *(f.name for f in _NEW))
+    out, _ = scratch(out.toDF(*names, *(f.name for f in _NEW)), "hits")
+    drop(spark, theirs_path, rows_path)
+    return out.toDF(*docs.columns, *(f.name for f in _NEW))
+
+
 def ranges(hit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and end word of each run of hit words, runs cut at text borders."""
     n = len(hit)
@@ -212,10 +300,11 @@ def join_ranges(spans: list[list[int]]) -> list[list[int]]:
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for each document: its id, n_words, n_hit, n_items, items_sha256, contaminated (two items or more)."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = find(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), benchmark, **options)
+    options = {n: v for n, v in options.items() if n not in ("id_col", "text_col")}
+    found = find(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text")), benchmark, id_col="id", **options)
     n_items = F.size("_items").cast("long")
     return found.select(
-        F.col(id_col),
+        F.col("id").alias(id_col),
         F.col("_n_words").alias("n_words"),
         F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0]).alias("n_hit"),
         n_items.alias("n_items"),

@@ -32,7 +32,7 @@ def test_every_window_is_found(spark, make, split):
     items = [(i, text(rng.randint(0, 14))) for i in range(30)] + [(31, None), (3, "x y"), (32, "Ünïcode wörds 42"), (33, "Ünïcode wörds 42"), (34, "!!")]
     docs = [(i, text(rng.randint(0, 60))) for i in range(80)] + [(90, "say ünïcode WÖRDS 42".replace("Ö", "ö")), (91, None), (92, items[0][1]), (92, items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for words in (2_000_000, 60):  # in one block, and in several
+    for words in (2_000_000, 60):  # broadcast, and joined
         got = D.report(make(docs).drop("score"), bench, block_words=words)
         assert sorted(map(tuple, got.collect()), key=repr) == plain(docs, items, split)
 
@@ -73,6 +73,7 @@ def test_clean_with_columns_of_any_name(odd, clash, make, spark):
     bench = spark.createDataFrame([("q", "ein zwei drei vier fünf sechs")], "item_id string, text string")
     left = D.clean(docs, bench)
     assert left.columns == docs.columns
+    assert sorted(map(repr, left.collect())) == sorted(map(repr, D.clean(docs, bench, block_words=1).collect()))
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["1", "2", "3", "4", "5", "6", "6", "None", "7", "8"])
 
 
