@@ -123,13 +123,16 @@ def _prune(node: Node, tags: frozenset[str], classes: frozenset[str]) -> None:
 
 
 class _Builder(HTMLParser):
+    """The tree of a page, and its elements by tag in document order."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.top = Node("", {}, None)
+        self.root = self.top = Tree()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.top)
+        node = Node(tag, {k: v or "" for k, v in reversed(attrs)} if attrs else {}, self.top)
         self.top.children.append(node)
+        self.root.by_tag.setdefault(tag, []).append(node)
         if tag not in VOID:
             self.top = node
 
@@ -139,6 +142,8 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag not in self.root.by_tag:
+            return
         node = self.top
         while node.parent and node.tag != tag:
             node = node.parent
@@ -148,20 +153,41 @@ class _Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.top.children.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections of unknown kinds are passed over up to the next >."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+
+class Tree(Node):
+    """The root of a page."""
+
+    __slots__ = ("by_tag",)
 
-def parse(html: str) -> Node:
+    def __init__(self) -> None:
+        super().__init__("", {}, None)
+        self.by_tag: dict[str, list[Node]] = {}
+
+
+def parse(html: str) -> Tree:
     """The page's tree; an unfinished or odd page gives what could be read of it."""
     builder = _Builder()
-    builder.feed(html)
-    builder.close()
+    try:
+        builder.feed(html)
+        builder.close()
+    except AssertionError:  # the parser's word for a declaration it cannot read
+        pass
     return builder.root
 
 
-def _first(root: Node, selector: str) -> Node | None:
-    return next((n for n in root.walk() if n.matches(selector)), None)
+def _first(tree: Tree, selector: str) -> Node | None:
+    """The first element of a selector, which names a tag."""
+    return next((n for n in tree.by_tag.get(_parsed(selector)[-1][0], ()) if n.matches(selector)), None)
 
 
-def site(root: Node, url: str | None, hint: str | None) -> str:
+def site(root: Tree, url: str | None, hint: str | None) -> str:
     """Which kind of site a page is from."""
     if hint:
         return hint.lower()
@@ -176,7 +202,7 @@ def site(root: Node, url: str | None, hint: str | None) -> str:
     return "wikipedia" if _first(root, "div.mw-parser-output") or _first(root, "div#mw-content-text") else "bre"
 
 
-def content_root(root: Node, kind: str) -> Node | None:
+def content_root(root: Tree, kind: str) -> Node | None:
     """The first selector's element with text, else the nearest of six ancestors of the first h1 that has text, else the body."""
     for selector in ROOTS.get(kind, ROOTS["bre"]):
         node = _first(root, selector)
@@ -198,16 +224,19 @@ def blocks(html: str | None, url: str | None = None, hint: str | None = None) ->
     return _blocks(parse(html), url, hint) if html else []
 
 
-def _blocks(tree: Node, url: str | None, hint: str | None) -> list[tuple[str, str]]:
+def _blocks(tree: Tree, url: str | None, hint: str | None) -> list[tuple[str, str]]:
     kind = site(tree, url, hint)
     root = content_root(tree, kind)
     if root is None:
         return []
     _prune(root, *_clutter(kind))
-    for node in list(root.walk()):
+    found = []
+    for node in root.walk():  # a link's own elements are no blocks, for it becomes its text before they are reached
         if node.tag == "a":
             node.children = [node.text()]
-    return [(n.tag, n.text()) for n in root.walk() if n.tag in BLOCKS]
+        elif node.tag in BLOCKS:
+            found.append(node)
+    return [(n.tag, n.text()) for n in found]
 
 
 def title(html: str | None) -> str:
@@ -215,8 +244,8 @@ def title(html: str | None) -> str:
     return _title(parse(html)) if html else UNTITLED
 
 
-def _title(tree: Node) -> str:
-    metas = [n for n in tree.walk() if n.tag == "meta"]
+def _title(tree: Tree) -> str:
+    metas = tree.by_tag.get("meta", [])
     for found in (
         next((n.attrs.get("content", "") for n in metas if n.attrs.get("property") == "og:title"), ""),
         (h1.text() if (h1 := _first(tree, "h1")) else ""),

@@ -59,15 +59,33 @@ def sitemap_urls(xml: Column) -> Column:
     return F.when(well_formed(xml), F.filter(F.transform(found, lambda u: F.regexp_replace(u, r"(?U)^\s+|\s+$", "")), lambda u: u != "")).otherwise(F.array().cast("array<string>"))
 
 
+_ATTRIBUTES = r"""(?:\s+[\w:.-]+\s*=\s*(?:"[^"<]*"|'[^'<]*'))*\s*"""
+_TAG = rf"<(?:/[A-Za-z_][\w:.-]*\s*|[A-Za-z_][\w:.-]*{_ATTRIBUTES}/?)>"
+#: Two attributes of one name; characters, and references to them, that no XML may have.
+_TWICE = r"""\s([\w:.-]+)\s*=\s*(?:"[^"]*"|'[^']*')(?=(?:[^"']|"[^"]*"|'[^']*')*\s\1\s*=)"""
+_ILLEGAL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]|&#0*(?:[0-8]|1[124-9]|2\d|3[01]|\d{7,});|&#x0*(?:[0-8BCEFbcef]|1[\dA-Fa-f]|[Dd][89A-Fa-f][\dA-Fa-f]{2}|[\dA-Fa-f]{6,});"
+
+
 def well_formed(xml: Column) -> Column:
-    """Whether the parser can read a sitemap: tags that nest, checked by removing innermost pairs."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(xml, F.lit("")), r"(?s)<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>", ""), r"(?s)<!\[CDATA\[.*?\]\]>", "x")
-    bare = F.regexp_replace(bare, r"<[A-Za-z_][\w:.-]*(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*\s*/>", "")
-    pair = r"<([A-Za-z_][\w:.-]*)(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*\s*>[^<>]*</\1\s*>"
-    entity = ~F.coalesce(xml, F.lit("")).rlike(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)")
-    for _ in range(6):  # loc, url, urlset, and extensions inside
-        bare = F.regexp_replace(bare, pair, "")
-    return (F.trim(F.regexp_replace(bare, r"\s+", "")) == "") & (F.coalesce(xml, F.lit("")) != "") & entity
+    """Whether the parser can read a sitemap: one root, tags that nest to any depth, by a stack over the tags."""
+    xml = F.coalesce(xml, F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(xml, r"(?s)<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*>", ""), r"(?s)<!\[CDATA\[.*?\]\]>", "x")
+    bare = F.regexp_replace(bare, r"^\s+|\s+$", "")
+    tags = F.regexp_extract_all(bare, F.lit(_TAG), F.lit(0))
+    legal = ~xml.rlike(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)") & ~xml.rlike(_ILLEGAL) & ~F.exists(tags, lambda t: t.rlike(_TWICE))
+    framed = bare.rlike(r"(?s)^<.*>$") & ~F.contains(F.regexp_replace(bare, _TAG, ""), F.lit("<"))
+
+    def step(s: Column, tag: Column) -> Column:
+        name = F.regexp_extract(tag, r"^</?([\w:.-]+)", 1)
+        closes, whole = tag.startswith("</"), tag.endswith("/>")
+        fits = F.coalesce(F.get(s["open"], F.lit(0)) == name, F.lit(False))
+        open_ = F.when(whole, s["open"]).when(closes, F.slice(s["open"], F.lit(2), F.size(s["open"]))).otherwise(F.concat(F.array(name), s["open"]))
+        roots = s["roots"] + F.when((F.size(s["open"]) == 0) & ~closes, 1).otherwise(0)
+        return F.struct(F.when(s["good"], open_).otherwise(s["open"]).alias("open"), roots.alias("roots"), (s["good"] & (~closes | fits)).alias("good"))
+
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("roots"), F.lit(True).alias("good"))
+    nests = F.aggregate(tags, start, step, lambda s: s["good"] & (s["roots"] == 1) & (F.size(s["open"]) == 0))
+    return legal & framed & nests
 
 
 def resolve_sitemaps(maps: DataFrame, root: str) -> DataFrame:

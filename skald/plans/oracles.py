@@ -43,9 +43,22 @@ j AS (SELECT s.url AS su, f.url AS fu, f.source AS f_source, f.lang AS f_lang, f
   WHEN s.url IS NOT NULL AND s.h = f.h THEN 'touch' WHEN s.url IS NOT NULL THEN 'update' ELSE 'insert' END AS action
   FROM f LEFT JOIN store s ON s.url = f.url)"""
 _NOISY = r"'[12] ( ' || regexp_replace(text, 'e', ' - e [n 1] , ', 'g') || ' )'"
-_CLEANED = _NOISY
-for _pattern, _by in ((r"\[\d+\]", ""), (r"\s*\[[^\]]+\]\s*", " "), (r"\s{2,}", " "), (r"^\s+|\s+$", ""), (r"\s+([.,;:!?)])", r"\1"), (r"([(])\s+", r"\1"), (r"([\p{L}\p{N}\p{M}\p{Pc}])\s+-\s+([\p{L}\p{N}\p{M}\p{Pc}])", r"\1-\2")):
-    _CLEANED = f"regexp_replace({_CLEANED}, '{_pattern}', '{_by}', 'g')"
+
+
+def _cleaned(text: str) -> str:
+    """The text cleaning as nested replacements."""
+    for pattern, by in ((r"\[\d+\]", ""), (r"\s*\[[^\]]+\]\s*", " "), (r"\s{2,}", " "), (r"^\s+|\s+$", ""), (r"\s+([.,;:!?)])", r"\1"), (r"([(])\s+", r"\1"), (r"([\p{L}\p{N}\p{M}\p{Pc}])\s+-\s+([\p{L}\p{N}\p{M}\p{Pc}])", r"\1-\2")):
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+#: Pages as the tables have them: one article of paragraphs, of which an unclosed one (the next tag of a paragraph opens) goes on to the article's end.
+_ARTICLE = r"""a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS inner_html, html FROM pages),
+t AS (SELECT page_id, unnest(l) AS tok, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(inner_html, '<[^>]*>|[^<]+') AS l FROM a)),
+s AS (SELECT page_id, i, regexp_replace(regexp_replace(replace(tok, '&quot;', '"'), '&amp;?', '&', 'g'), '^\s+|\s+$', '', 'g') AS piece FROM t WHERE tok[1] <> '<'),
+g AS (SELECT page_id, i, tok, lead(tok, 1, '</p>') OVER (PARTITION BY page_id ORDER BY i) AS next_tok, lead(i, 1, 1000000) OVER (PARTITION BY page_id ORDER BY i) AS next_i FROM t WHERE tok IN ('<p>', '</p>', '<h1>', '</h1>')),
+b AS (SELECT page_id, i, CASE WHEN next_tok = replace(tok, '<', '</') THEN next_i ELSE 1000000 END AS stop FROM g WHERE tok IN ('<p>', '<h1>')),
+x AS (SELECT b.page_id, b.i, coalesce(string_agg(piece, ' ' ORDER BY s.i) FILTER (piece <> ''), '') AS x FROM b LEFT JOIN s ON b.page_id = s.page_id AND s.i > b.i AND s.i < b.stop GROUP BY b.page_id, b.i)"""
 
 
 def _bytes(n: str) -> str:
@@ -91,7 +104,7 @@ ORACLES = {
     "normalize_url": "SELECT page_id, split_part(split_part(url, '#', 1), '?', 1) AS normalized_url FROM pages",
     "content_hash": "SELECT doc_id, md5(text) AS content_hash FROM documents",
     "unique_urls": "SELECT source || '/' || (doc_id % 50) AS normalized_url, doc_id AS updated_at, md5(text) AS content_hash FROM documents QUALIFY row_number() OVER (PARTITION BY source || '/' || (doc_id % 50) ORDER BY doc_id DESC) = 1",
-    "clean_text_norm": f"SELECT doc_id, md5({_CLEANED}) AS cleaned FROM documents",
+    "clean_text_norm": f"SELECT doc_id, md5({_cleaned(_NOISY)}) AS cleaned FROM documents",
     "word_count": f"SELECT doc_id, CAST({_WORDS.format('text')} AS INTEGER) AS word_count FROM documents",
     "headings": r"SELECT doc_id, lower(regexp_replace(replace(regexp_replace(regexp_replace(' 1.2.3 ' || split_part(text, chr(10), 1) || ': ', '^\s+|\s+$', '', 'g'), '^\s*\d+(\.\d+)*\s*', ''), ':', ''), '^\s+|\s+$', '', 'g')) AS heading FROM documents",
     "sizes": f"SELECT doc_id, {_bytes('CAST(strlen(text) AS DOUBLE)')} AS small, {_bytes('(CAST(strlen(text) AS DOUBLE) * 1000000.0)')} AS large FROM documents",
@@ -107,6 +120,11 @@ ORACLES = {
     "category_paths": f"WITH RECURSIVE {_EDGES.format(5)} SELECT node, depth, count(*) AS walks FROM walk GROUP BY node, depth",
     "sitemap_urls": "SELECT * FROM (VALUES ('root', 'http://a/1.xml'), ('root', 'http://a/2.xml'), ('http://a/1.xml', 'http://a/p1'), ('http://a/1.xml', 'http://a/p2')) v(sitemap, url)",
     "sitemap_pages": "SELECT * FROM (VALUES ('http://a/p1'), ('http://a/p2')) v(url)",
+    "html_title": f"WITH {_ARTICLE}, h AS (SELECT b.page_id, x FROM b JOIN x USING (page_id, i) JOIN g USING (page_id, i) WHERE g.tok = '<h1>' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) = 1) SELECT pages.page_id, coalesce(nullif(h.x, ''), nullif(regexp_replace(regexp_extract(html, '<title>([^<]*)<', 1), '\\s*[-|—]\\s*.*$', ''), ''), 'Без названия') AS title FROM pages LEFT JOIN h USING (page_id)",
+    "html_clean": f"""WITH {_ARTICLE}, c AS (SELECT page_id, i, {_cleaned('x')} AS c FROM x),
+        k AS (SELECT page_id, i, c, lag(c) OVER (PARTITION BY page_id ORDER BY i) AS before FROM c WHERE length(c) >= 30 AND NOT regexp_matches(lower(c), 'править|обсуждение|загрузить|распечатать')),
+        o AS (SELECT page_id, string_agg(c, chr(10) || chr(10) ORDER BY i) AS clean_text FROM k WHERE before IS NULL OR before <> c GROUP BY page_id)
+        SELECT pages.page_id, coalesce(clean_text, '') AS clean_text, CAST({_WORDS.format('clean_text')} AS INTEGER) AS word_count FROM pages LEFT JOIN o USING (page_id)""",
     "allowed_urls": "SELECT page_id, url FROM pages WHERE starts_with(url, 'https://m.') OR starts_with(url, 'http://t')",
     "source_detection": r"""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'wikipedia' WHEN regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) LIKE '%wikipedia.org%' THEN 'wikipedia' ELSE 'bre' END AS source
         FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, 'example', 'wikipedia') WHEN page_id % 3 = 1 THEN replace(url, 'example.net', 'bigenc.ru') ELSE url END AS u FROM pages)""",

@@ -58,6 +58,15 @@ def test_category_walks(spark):
     assert {(r["article"], r["depth"]) for r in found.collect()} == {("x", 1), ("y", 2)}
 
 
+def test_sitemaps_of_any_depth_and_broken_ones(spark):
+    deep = "<urlset>" + "".join(f"<a{i}>" for i in range(40)) + "x" + "".join(f"</a{i}>" for i in reversed(range(40))) + "<url><loc>http://a/1</loc><x:image a='1' b=\"2>3\"/></url></urlset>"
+    good = [deep, "<!-- c --><urlset><url><loc><![CDATA[http://a/1]]></loc></url></urlset>\n", '<?xml version="1.0"?><urlset><url><loc>http://a/&#49;</loc></url></urlset>']
+    broken = ["<urlset><url><loc>http://a/1</url></loc></urlset>", "<urlset a='1' a='2'><url><loc>http://a/1</loc></url></urlset>", "<urlset><url><loc>http://a/1</loc></url></urlset><urlset/>", "x<urlset/>", "<urlset/>x", "<urlset><url><loc>&#0;</loc></url></urlset>", "<urlset><url><loc>\x01</loc></url></urlset>", "</urlset>", "<urlset><url <loc>http://a/1</loc></url></urlset>", "<urlset><url><loc>&#x1F;</loc></url></urlset>"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*good, *broken])], "i int, xml string")
+    got = {r["i"]: r["u"] for r in df.select("i", crawl.sitemap_urls(F.col("xml")).alias("u")).collect()}
+    assert got == {i: ["http://a/1"] if i < len(good) else [] for i in got}
+
+
 def test_sitemaps(spark):
     maps = {
         "ok": '<urlset xmlns="http://s"><url><loc> http://a/1 </loc></url><url><loc>http://a/2</loc><priority>1</priority></url></urlset>',
