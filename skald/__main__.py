@@ -73,14 +73,16 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
     corpus = io.read_corpus(spark, a.corpus, strict=False)
     index.write_index(index.build_index(corpus, analyzer=a.analyzer, stemmed=a.stemmed), f"{a.out}/postings")
     index.write_direct(index.direct_index(corpus), f"{a.out}/direct")
+    index.write_about(spark, f"{a.out}/about", analyzer=a.analyzer, stemmed=a.stemmed)
     print(index.index_totals(index.read_index(spark, f"{a.out}/postings"), corpus).first().asDict())
 
 
 def find(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Answer a file of queries, one a line."""
+    """Answer a file of queries, one a line; infix words are read as the index read its texts."""
     postings, direct = index.read_index(spark, f"{a.index}/postings"), index.read_direct(spark, f"{a.index}/direct")
     queries = io.read_queries(spark, a.queries)
-    hits = search.search(postings, queries, direct=direct, syntax=a.syntax, semantics=a.semantics, literal_or=a.syntax == "postfix")
+    analyze = search.analysis(spark, queries, **index.read_about(spark, f"{a.index}/about"))
+    hits = search.search(postings, queries, direct=direct, syntax=a.syntax, semantics=a.semantics, literal_or=a.syntax == "postfix", analyze=analyze)
     found: dict[int, list] = {}
     for r in search.with_documents(hits, direct).orderBy("query_id", "doc_id").toLocalIterator():
         found.setdefault(r["query_id"], []).append(r)
@@ -93,6 +95,23 @@ def find(spark: SparkSession, a: argparse.Namespace) -> None:
         print()
 
 
+def plot(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The points of a log-log plot of a rank table; a picture too, where matplotlib is there."""
+    points = K.zipf_plot(io.read_zipf(spark, a.zipf))
+    io.write_plot(points, f"{a.out}/zipf_plot.tsv")
+    try:
+        import matplotlib.pyplot as plt
+    except ImportError:
+        return
+    rows = K.thinned(points).orderBy("log10_rank").collect()  # PLOTTED points, about
+    plt.plot([r["log10_rank"] for r in rows], [r["log10_freq"] for r in rows], label="frequency")
+    plt.plot([r["log10_rank"] for r in rows], [r["log10_zipf"] for r in rows], label="C / rank")
+    plt.xlabel("log10 rank")
+    plt.ylabel("log10 frequency")
+    plt.legend()
+    plt.savefig(a.picture)
+
+
 def statistics(spark: SparkSession, a: argparse.Namespace) -> None:
     """Statistics of a corpus and its tokens as JSON, and printed."""
     row = stats.statistics(io.read_corpus(spark, a.corpus, strict=False), io.read_tokens(spark, a.tokens), io.read_docs_index(spark, a.docs_idx), a.top)
@@ -118,6 +137,7 @@ def parser() -> argparse.ArgumentParser:
     command("zipf", zipf, flag("tokens", nargs="?"), flag("out", nargs="?"), flag("top", nargs="?", type=int, default=50))
     command("index", build, flag("corpus", nargs="?", default="data/corpus.jsonl"), flag("out", nargs="?", default="data/index"), flag("--analyzer", choices=["unicode", "ascii"], default="unicode"), flag("--stemmed", action="store_true"))
     command("search", find, flag("queries"), flag("--index", default="data/index"), flag("--syntax", choices=["infix", "postfix"], default="infix"), flag("--semantics", choices=["set", "multiset"], default="set"))
+    command("plot", plot, flag("zipf", nargs="?", default="data/zipf/zipf_rank_freq.tsv"), flag("out", nargs="?", default="data/zipf"), flag("--picture", default="zipf.png"))
     command("stats", statistics, flag("--corpus", default="data/corpus.jsonl"), flag("--tokens", default="data/tokens/tokens.tsv"), flag("--docs-idx", default="data/tokens/docs.idx"), flag("--out", default="data/stats"), flag("--top", type=int, default=30))
     return p
 

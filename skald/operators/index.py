@@ -7,7 +7,7 @@ query's few terms skip most row groups.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -58,17 +58,30 @@ def write_index(postings: DataFrame, path: str) -> None:
     postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
 
 
-def read_index(spark, path: str) -> DataFrame:
+def read_index(spark: SparkSession, path: str) -> DataFrame:
     """What write_index() wrote."""
     return spark.read.parquet(path)
 
 
+def write_about(spark: SparkSession, path: str, *, analyzer: str = "unicode", stemmed: bool = False) -> None:
+    """How an index read its texts, for those who ask it."""
+    spark.createDataFrame([(analyzer, stemmed)], "analyzer string, stemmed boolean").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_about(spark: SparkSession, path: str) -> dict:
+    """What write_about() wrote; the default analyzer where there is nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return {"analyzer": "unicode", "stemmed": False}
+    return spark.read.schema("analyzer string, stemmed boolean").json(path).first().asDict()
+
+
 def write_direct(direct: DataFrame, path: str) -> None:
     """Parquet sorted by id in ranges."""
     direct.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(path)
 
 
-def read_direct(spark, path: str) -> DataFrame:
+def read_direct(spark: SparkSession, path: str) -> DataFrame:
     """What write_direct() wrote."""
     return spark.read.parquet(path)
 

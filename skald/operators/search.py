@@ -9,11 +9,12 @@ shuffle. Set semantics run the same expressions over 0/1.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skald.functions import text as X
 from skald.plans import query_language as Q
 
 
@@ -40,6 +41,17 @@ def _ors(node: Q.Node | None) -> list[Q.Or]:
     return [*_ors(node.left), *_ors(node.right), *([node] if isinstance(node, Q.Or) else [])]
 
 
+def analysis(spark: SparkSession, queries: Iterable[str], *, analyzer: str = "unicode", stemmed: bool = False) -> Callable[[str], list[str]]:
+    """What read_infix() needs to read query words as an index of this analyzer read its texts: a word's terms, none if the analyzer drops it."""
+    words = sorted({t.text for q in queries for t in Q.lex(q) if not t.paren and t.text not in Q.OPERATORS})
+    found = (X.tokens if analyzer == "unicode" else X.ascii_tokens)(F.try_validate_utf8(F.col("word")))
+    if stemmed:
+        found = F.filter(F.transform(found, X.stem), lambda t: t.isNotNull())
+    rows = spark.createDataFrame([(w,) for w in words], "word string").select("word", found.alias("terms")).collect()  # the queries' words
+    terms = {r["word"]: list(r["terms"] or []) for r in rows}
+    return lambda word: terms.get(word, [])
+
+
 def read_query(query: str, postings: DataFrame, *, syntax: str, analyze=None) -> Q.Node | None:
     """A query's tree; postfix queries ask the index which of their words are terms."""
     if syntax == "infix":
@@ -78,7 +90,8 @@ def search(postings: DataFrame, queries: Iterable[str], *, direct: DataFrame | N
     rows = [F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("query"), hit(_expression(tree, column, empty)).alias("n")) for i, q, tree in asked]
     if not rows:
         return found.select(F.lit(0).alias("query_id"), F.lit("").alias("query"), "doc_id", F.lit(0).cast("long").alias("n")).limit(0)
-    return found.select("doc_id", F.explode(F.array(*rows)).alias("h")).select("h.query_id", "h.query", "doc_id", "h.n").filter("n is not null")
+    hits = F.filter(F.array(*rows), lambda h: h["n"].isNotNull())  # before they become rows: most documents are hits of few queries
+    return found.select("doc_id", F.explode(hits).alias("h")).select("h.query_id", "h.query", "doc_id", "h.n")
 
 
 def with_documents(hits: DataFrame, direct: DataFrame) -> DataFrame:

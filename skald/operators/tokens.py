@@ -110,6 +110,15 @@ def zipf_plot(table: DataFrame) -> DataFrame:
     return table.select("log10_rank", "log10_freq", F.log10("zipf_freq").alias("log10_zipf"))
 
 
+PLOTTED = 2000
+
+
+def thinned(points: DataFrame, n: int = PLOTTED) -> DataFrame:
+    """At most about n points of a plot, evenly spread over the logarithm of the rank: the first of each step."""
+    step = F.floor(F.col("log10_rank") * (n / 12))  # ranks of up to twelve digits
+    return points.groupBy(step.alias("_s")).agg(F.min(F.struct(*points.columns)).alias("p")).select("p.*")
+
+
 def top_terms(terms: DataFrame, n: int = 50) -> DataFrame:
     """rank, term, freq of the n most frequent terms."""
     top = terms.orderBy(F.desc("freq"), "term").limit(n)

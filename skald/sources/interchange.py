@@ -83,6 +83,11 @@ def read_zipf(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path, sep="\t")
 
 
+def write_plot(points: DataFrame, path: str) -> None:
+    """log10_rank, log10_freq, log10_zipf with a header, by rank."""
+    points.repartitionByRange("log10_rank").sortWithinPartitions("log10_rank").write.mode("overwrite").option("header", True).csv(path, sep="\t")
+
+
 def write_top_terms(terms: DataFrame, path: str) -> None:
     """rank, term, freq with a header."""
     terms.select("rank", "term", "freq").coalesce(1).sortWithinPartitions("rank").write.mode("overwrite").option("header", True).csv(path, sep="\t", quote="")

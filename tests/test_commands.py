@@ -36,6 +36,13 @@ def test_pages_to_hits(spark, tmp_path, capsys):
     commands.main(["search", f"{at}/queries", "--index", f"{at}/index"])
     shown = capsys.readouterr().out.split("\n\n")
     assert ["Имя 1" in shown[0], "Имя 0" in shown[0], shown[1].count("Имя"), "nothing found" in shown[2]] == [True, False, 3, True]
+    commands.main(["index", f"{at}/corpus", f"{at}/stemmed", "--stemmed"])
+    (tmp_path / "inflected").write_text("КЛЕТКАМИ && \"содержат,\"\nмитохондрия && !бета.\nи ядра\n")
+    capsys.readouterr()
+    commands.main(["search", f"{at}/inflected", "--index", f"{at}/stemmed"])
+    assert [s.count("Имя") for s in capsys.readouterr().out.split("\n\n")] == [3, 2, 3, 0]
+    commands.main(["plot", f"{at}/zipf/zipf_rank_freq.tsv", f"{at}/plot", "--picture", f"{at}/zipf.png"])
+    assert spark.read.option("header", True).csv(f"{at}/plot/zipf_plot.tsv", sep="\t").columns == ["log10_rank", "log10_freq", "log10_zipf"]
     commands.main(["stats", "--corpus", f"{at}/corpus", "--tokens", f"{at}/tokens/tokens.tsv", "--docs-idx", f"{at}/tokens/docs.idx", "--out", f"{at}/stats", "--top", "3"])
     assert "Documents: 3" in capsys.readouterr().out
 

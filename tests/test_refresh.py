@@ -85,3 +85,24 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([page("http://a/z", text)], schema).write.mode("append").parquet(source)
     found = refresh_stream.read_store(spark, str(tmp_path / "store"))
     assert sorted(r["normalized_url"] for r in found.select(F.col("normalized_url")).collect()) == ["http://a/x", "http://a/z"]
+
+
+def test_a_batch_tried_again_and_versions_that_expire(spark, pages, tmp_path):
+    """An epoch keeps the time of its first try; untouched buckets stay where they are; old versions go."""
+    times = iter(range(NOW, NOW + 10_000_000, 700_000))
+    store = refresh_stream.BucketedStore(spark, str(tmp_path / "store"), buckets=8)
+    urls = [f"http://a/{i}" for i in range(30)]
+    store.merge(pages(*((u, "one two three") for u in urls)), 0, lambda: next(times), POLICY)
+    first = store.version()
+    some = [(u, "four five six") for u in urls[:2]]
+    store.merge(pages(*some), 1, lambda: next(times), POLICY)
+    once = sorted(map(repr, store.read().collect()))
+    store.merge(pages(*some), 1, lambda: next(times), POLICY)  # again
+    assert sorted(map(repr, store.read().collect())) == once
+    changed = {b for b, e in store.version().items() if e == 1}
+    assert 1 <= len(changed) <= 2 and all(store.version()[b] == first[b] for b in first if b not in changed)
+    assert {r["clean_text"] for r in store.read().filter(F.col("updated_at") == NOW + 700_000).collect()} == {"four five six"}
+    store.merge(pages(*((u, "x") for u in urls)), 2, lambda: next(times) + 700_000, POLICY)  # too short: all go
+    assert store.read().count() == 0 and store.read(before=2).count() == 30
+    store.merge(pages(("http://a/1", "seven eight nine")), 3, lambda: next(times), POLICY)
+    assert store.epochs() == [2, 3] and store.read().count() == 1 and store._names("data") == ["000000000003"]
