@@ -190,6 +190,9 @@ def human_bytes(n: Column) -> Column:
 
 
 def six_digits(x: Column) -> Column:
-    """A double as text with six significant digits and no trailing zeros."""
-    shown = F.format_string("%.6g", x)
-    return F.when(shown.contains(".") & ~shown.contains("e"), F.regexp_replace(shown, r"\.?0+$", "")).otherwise(shown)
+    """A double as text with six significant digits (of a tie the even one) and no trailing zeros."""
+    places = F.lit(5) - F.floor(F.log10(F.abs(x))).cast("int")
+    fixed = F.replace(F.call_function("format_number", x, places), F.lit(","), F.lit(""))
+    shown = F.when((places >= 0) & (places < 10) & (F.length(F.regexp_replace(fixed, r"^-|\..*$", "")) < 7), fixed).otherwise(F.format_string("%.6g", x))
+    shown = F.when(shown.contains(".") & ~shown.contains("e"), F.regexp_replace(shown, r"\.?0+$", "")).otherwise(shown)
+    return F.when(x == 0, F.lit("0")).otherwise(F.regexp_replace(shown, r"\.?0+e", "e"))

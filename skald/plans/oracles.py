@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from skald.functions.text import ENDINGS, VOWELS
-from skald.plans.registry import AGE, NOW, RUSSIAN
+from skald.plans.registry import AGE, CYRILLIC, INFLECTIONS, NOW, RUSSIAN
 
 _A = r"0-9A-Za-z\x{0400}-\x{052F}"
 _M = r"\x{0300}-\x{036F}"
@@ -118,8 +118,35 @@ ORACLES = {
     "visit_budget": "SELECT doc_id AS visit_seq, doc_id % 3 > 0 AS is_write FROM documents QUALIFY coalesce(sum(CASE WHEN doc_id % 3 > 0 THEN 1 ELSE 0 END) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 300",
     "category_walk": "SELECT c_name AS article, 2 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "category_paths": f"WITH RECURSIVE {_EDGES.format(5)} SELECT node, depth, count(*) AS walks FROM walk GROUP BY node, depth",
-    "sitemap_urls": "SELECT * FROM (VALUES ('root', 'http://a/1.xml'), ('root', 'http://a/2.xml'), ('http://a/1.xml', 'http://a/p1'), ('http://a/1.xml', 'http://a/p2')) v(sitemap, url)",
-    "sitemap_pages": "SELECT * FROM (VALUES ('http://a/p1'), ('http://a/p2')) v(url)",
+    "sitemap_urls": "SELECT 'http://maps/' || CAST(page_id // 50 AS BIGINT) || '.xml' AS sitemap, url FROM pages WHERE page_id // 50 % 5 <> 4 UNION ALL SELECT DISTINCT 'root', 'http://maps/' || CAST(page_id // 50 AS BIGINT) || '.xml' FROM pages",
+    "sitemap_pages": "SELECT url FROM pages WHERE page_id // 50 % 5 <> 4",
+    "stem_cyrillic": f"SELECT w AS word, stem FROM ({stem_steps(f'WITH {_FREQ} SELECT DISTINCT translate(term, {CYRILLIC[0]!r}, {CYRILLIC[1]!r}) || ({INFLECTIONS!r})[length(term) % {len(INFLECTIONS)} + 1] AS w FROM f', 'stem')})",
+    "invalid_text": f"WITH {_T} SELECT doc_id, count(*) AS n FROM flat WHERE doc_id % 5 <> 0 GROUP BY doc_id",
+    "article_rules": f"""WITH p AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents)),
+        c AS (SELECT doc_id, i, {_cleaned('x')} AS c FROM p WHERE doc_id % 3 <> 0 OR i <= 3),
+        k AS (SELECT doc_id, i, c, lag(c) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c WHERE length(c) >= 30 AND NOT regexp_matches(lower(c), 'править|обсуждение|загрузить|распечатать')),
+        o AS (SELECT doc_id, string_agg(c, chr(10) || chr(10) ORDER BY i) AS article FROM k WHERE before IS NULL OR before <> c GROUP BY doc_id)
+        SELECT documents.doc_id, coalesce(article, '') AS article FROM documents LEFT JOIN o USING (doc_id)""",
+    "duplicate_ids": "SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 3 ELSE 2 END AS n FROM documents WHERE doc_id % 4 = 0",
+    "visited_urls": f"WITH {_STORE} SELECT url AS normalized_url FROM store",
+    "get_document": f"WITH {_STORE} SELECT url, h AS content_hash, status FROM store WHERE url = 'doc://7'",
+    "existing_urls": "SELECT 'doc://' || doc_id AS normalized_url FROM documents WHERE doc_id % 5 <> 0",
+    "throughput": f"WITH {_T}, n AS (SELECT (SELECT count(*) FROM flat) AS n, (SELECT sum(strlen(text)) / 1024 FROM documents) AS kb) SELECT round(kb / 2, 9) AS kb_per_sec, round(2e6 / kb, 9) AS us_per_kb, round(n / 2, 9) AS tokens_per_sec FROM n",
+    "corpus_file": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'doc://' || doc_id AS normalized_url, source AS source_name, split_part(text, chr(10), 1) AS title, text AS clean_text FROM documents",
+    "corpus_file_lenient": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source AS source_name, md5(CASE WHEN doc_id % 7 = 1 THEN '' ELSE text END) AS text FROM documents WHERE doc_id % 7 <> 0",
+    "corpus_file_literal": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text FROM documents",
+    "tokens_file": f"WITH {_T} SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(pos AS INTEGER) AS pos, token FROM flat",
+    "token_column_file": f"WITH {_FREQ} SELECT term, freq FROM f",
+    "stems_file": f"WITH {_T}, s AS ({stem_steps('SELECT DISTINCT token AS w FROM flat', 'stem')}) SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(pos AS INTEGER) AS pos, stem AS token FROM flat JOIN s ON token = w WHERE stem IS NOT NULL",
+    "top_terms_file": f"WITH {_RANKED} SELECT rank, term, freq FROM r WHERE rank <= 50",
+    "zipf_file": f"WITH {_RANKED} SELECT rank, freq, CAST(printf('%.6g', log10(rank)) AS DOUBLE) AS log10_rank, CAST(printf('%.6g', log10(freq)) AS DOUBLE) AS log10_freq, CAST(printf('%.6g', c / rank) AS DOUBLE) AS zipf_freq FROM r",
+    "query_file": "SELECT r_name AS query FROM region",
+    "index_files": f"WITH {_POSTINGS} SELECT term, doc_id, tf FROM p",
+    "direct_files": "SELECT doc_id, split_part(text, chr(10), 1) AS title, 'doc://' || doc_id AS url FROM documents",
+    "search_stored": f"""WITH {_T}, h AS (SELECT d.doc_id, split_part(text, chr(10), 1) AS title, list_contains(l, 'the') AS the, list_contains(l, 'der') AS der, list_contains(l, 'that-the') AS that FROM documents d JOIN t USING (doc_id))
+        SELECT 0 AS query_id, doc_id, title FROM h WHERE the AND der UNION ALL SELECT 1, doc_id, title FROM h WHERE that OR (der AND NOT the) UNION ALL SELECT 2, doc_id, title FROM h WHERE the""",
+    "statistics_file": f"""WITH {_FREQ} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents) AS clean_text_bytes_total, (SELECT nullif(count(*), 0) FROM documents WHERE source = 'web') AS web,
+        (SELECT CAST(sum(freq) AS BIGINT) FROM f) AS tokens_total, (SELECT round(sum(length(term) * freq) / sum(freq), 9) FROM f) AS avg_token_length_chars, (SELECT round(CAST(median(len(l)) AS DOUBLE), 9) FROM t) AS median, (SELECT term FROM f ORDER BY freq DESC, term LIMIT 1) AS first_token""",
     "html_title": f"WITH {_ARTICLE}, h AS (SELECT b.page_id, x FROM b JOIN x USING (page_id, i) JOIN g USING (page_id, i) WHERE g.tok = '<h1>' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) = 1) SELECT pages.page_id, coalesce(nullif(h.x, ''), nullif(regexp_replace(regexp_extract(html, '<title>([^<]*)<', 1), '\\s*[-|—]\\s*.*$', ''), ''), 'Без названия') AS title FROM pages LEFT JOIN h USING (page_id)",
     "html_clean": f"""WITH {_ARTICLE}, c AS (SELECT page_id, i, {_cleaned('x')} AS c FROM x),
         k AS (SELECT page_id, i, c, lag(c) OVER (PARTITION BY page_id ORDER BY i) AS before FROM c WHERE length(c) >= 30 AND NOT regexp_matches(lower(c), 'править|обсуждение|загрузить|распечатать')),
@@ -129,6 +156,7 @@ ORACLES = {
     "source_detection": r"""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'wikipedia' WHEN regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) LIKE '%wikipedia.org%' THEN 'wikipedia' ELSE 'bre' END AS source
         FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, 'example', 'wikipedia') WHEN page_id % 3 = 1 THEN replace(url, 'example.net', 'bigenc.ru') ELSE url END AS u FROM pages)""",
 }
+ORACLES["docs_idx_file"] = f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, byte_offset, token_count FROM ({ORACLES['docs_idx']})"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from skald.functions import html as H
 from skald.functions import text as X
 from skald.operators import crawl, index, refresh, search, stats
 from skald.operators import tokens as K
+from skald.sources import interchange as io
+from skald.sources.shared import drop, settle, shared_dir
 from skald.sources.tables import table
 
 NOW, AGE = 1_001_000_000, 999_000_000
@@ -255,21 +258,24 @@ def category_paths(spark, sf_dir):
     return crawl.category_paths(edges(spark, sf_dir), "world", 5).groupBy("node", "depth").agg(F.count("*").alias("walks"))
 
 
-SITEMAPS = [
-    ("root", '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc> http://a/1.xml </loc></sitemap><sitemap><loc>http://a/2.xml</loc><lastmod>2024</lastmod></sitemap></sitemapindex>'),
-    ("http://a/1.xml", "<urlset><url><loc>http://a/p1</loc></url><url><loc> </loc></url><url><loc>http://a/p2</loc></url></urlset>"),
-    ("http://a/2.xml", "<urlset><url><loc>http://a/p3</loc></url>"),
-    ("other", "<rss><loc>http://a/p4</loc></rss>"),
-]
+def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' urls as sitemaps of fifty (every fifth of them broken off) and an index of these."""
+    located = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>2024</lastmod></url>"))
+    number = F.floor(F.col("page_id") / 50)
+    name = F.concat(F.lit("http://maps/"), F.col("k"), F.lit(".xml"))
+    pages = table(spark, sf_dir, "pages").select(number.alias("k"), located.alias("x")).groupBy("k").agg(F.array_join(F.collect_list("x"), "").alias("x"))
+    maps = pages.select(name.alias("url"), F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "x", F.when(F.col("k") % 5 == 4, "").otherwise("</urlset>")).alias("xml"))
+    entries = maps.select(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>")).alias("x"))
+    root = entries.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list("x"), ""), F.lit("</sitemapindex>")).alias("xml")).select(F.lit("root").alias("url"), "xml")
+    return maps.union(root)
 
 
 def sitemap_urls(spark, sf_dir):
-    maps = spark.createDataFrame(SITEMAPS, "url string, xml string")
-    return maps.select(F.col("url").alias("sitemap"), F.explode(crawl.sitemap_urls(F.col("xml"))).alias("url"))
+    return sitemaps(spark, sf_dir).select(F.col("url").alias("sitemap"), F.explode(crawl.sitemap_urls(F.col("xml"))).alias("url"))
 
 
 def sitemap_pages(spark, sf_dir):
-    return crawl.resolve_sitemaps(spark.createDataFrame(SITEMAPS, "url string, xml string"), "root")
+    return crawl.resolve_sitemaps(sitemaps(spark, sf_dir), "root")
 
 
 def allowed_urls(spark, sf_dir):
@@ -282,12 +288,165 @@ def source_detection(spark, sf_dir):
     return pages.select("page_id", X.detect_source(F.col("url"), hint).alias("source"))
 
 
+CYRILLIC = ("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстуввхыз")
+INFLECTIONS = ["", "ами", "ости", "ившись", "ейшая", "ующий", "ится", "ение", "нность", "ая", "ого", "ь", "ла"]
+
+
+def stem_cyrillic(spark, sf_dir):
+    """The tables' words in Cyrillic letters, each with an ending by its length."""
+    word = F.concat(F.translate("term", *CYRILLIC), F.element_at(F.array(*[F.lit(x) for x in INFLECTIONS]), F.length("term") % len(INFLECTIONS) + 1))
+    return terms(spark, sf_dir).select(word.alias("word")).distinct().select("word", X.stem(F.col("word")).alias("stem"))
+
+
+def invalid_text(spark, sf_dir):
+    """Every fifth text ends in a byte that is no UTF-8: it has no tokens."""
+    c = corpus(spark, sf_dir)
+    broken = F.concat(F.encode("clean_text", "UTF-8"), F.unhex(F.lit("FF"))).cast("string")
+    return K.occurrences(c.withColumn("clean_text", F.when(F.col("doc_id") % 5 == 0, broken).otherwise(F.col("clean_text")))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def article_rules(spark, sf_dir):
+    """Sentences as blocks: every second document has each twice, every third a closing heading after the third sentence."""
+    sentence = F.transform(F.split("clean_text", r"\. "), lambda x: F.struct(F.lit("p").alias("tag"), x.alias("text")))
+    heading = F.array(F.struct(F.lit("h2").alias("tag"), F.lit(" 7.1 Примечания: ").alias("text")))
+    closed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.slice(sentence, 1, 3), heading, F.slice(sentence, 4, 1 << 30))).otherwise(sentence)
+    twice = F.when(F.col("doc_id") % 2 == 0, F.flatten(F.transform(closed, lambda b: F.array(b, b)))).otherwise(closed)
+    return corpus(spark, sf_dir).select("doc_id", H.article(twice).alias("article"))
+
+
+def duplicate_ids(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return index.duplicate_ids(c.union(c.filter("doc_id % 4 = 0")).union(c.filter("doc_id % 8 = 0")))
+
+
+def visited_urls(spark, sf_dir):
+    return refresh.visited_urls(store(spark, sf_dir), 1 << 30)
+
+
+def get_document(spark, sf_dir):
+    return refresh.get_document(store(spark, sf_dir), "doc://7?v=3#top").select("url", "content_hash", "status")
+
+
+def existing_urls(spark, sf_dir):
+    return refresh.existing(corpus(spark, sf_dir).select("normalized_url"), store(spark, sf_dir))
+
+
+def throughput(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    n, kb = K.occurrences(c).count(), c.agg((F.sum(F.octet_length("clean_text")) / 1024).alias("kb")).first()["kb"]
+    return round9(spark.createDataFrame([K.throughput(n, kb, 2.0)], "kb_per_sec double, us_per_kb double, tokens_per_sec double"))
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/skald-{name}-{uuid.uuid4().hex}"
+
+
+def _read_back(spark: SparkSession, name: str, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What a reader finds in what a writer wrote; the files are dropped."""
+    path = _path(spark, name)
+    write(path)
+    out = settle(read(path))
+    drop(spark, path)
+    return out
+
+
+def corpus_file(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return _read_back(spark, "corpus", lambda p: io.write_corpus(c, p), lambda p: io.read_corpus(spark, p))
+
+
+def corpus_file_lenient(spark, sf_dir):
+    """A seventh of the lines are cut off in the middle, another has no text."""
+    c = corpus(spark, sf_dir)
+    line = F.to_json(F.struct("doc_id", "source_name", F.when(F.col("doc_id") % 7 != 1, F.col("clean_text")).alias("clean_text")))
+    line = F.when(F.col("doc_id") % 7 == 0, F.substring(line, F.lit(1), F.length(line) - 5)).otherwise(line)
+    return _read_back(spark, "lenient", lambda p: c.select(line.alias("value")).write.text(p), lambda p: io.read_corpus(spark, p, strict=False).select("doc_id", "source_name", F.md5("clean_text").alias("text")))
+
+
+def corpus_file_literal(spark, sf_dir):
+    """Lines with every e escaped, which is no JSON, and with the id as a number or quoted."""
+    escaped = F.col("clean_text")
+    for plain, by in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r"), ("e", "\\e")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(by))
+    quote = F.when(F.col("doc_id") % 2 == 0, '"').otherwise("")
+    line = F.concat(F.lit('{"doc_id" : '), quote, "doc_id", quote, F.lit(', "clean_text":  "'), escaped, F.lit('", "doc_id": 0}'))
+    return _read_back(spark, "literal", lambda p: corpus(spark, sf_dir).select(line.alias("value")).write.text(p), lambda p: io.read_corpus(spark, p, literal=True).select("doc_id", F.md5("clean_text").alias("text")))
+
+
+def tokens_file(spark, sf_dir):
+    return _read_back(spark, "tokens", lambda p: io.write_tokens(K.tokenize(corpus(spark, sf_dir)), p), lambda p: io.read_tokens(spark, p))
+
+
+def token_column_file(spark, sf_dir):
+    return _read_back(spark, "column", lambda p: io.write_tokens(K.tokenize(corpus(spark, sf_dir)), p), lambda p: K.term_freq(io.read_token_column(spark, p, trimmed=True)))
+
+
+def stems_file(spark, sf_dir):
+    return _read_back(spark, "stems", lambda p: io.write_tokens(K.stem_tokens(K.tokenize(corpus(spark, sf_dir))), p), lambda p: io.read_tokens(spark, p))
+
+
+def docs_idx_file(spark, sf_dir):
+    return _read_back(spark, "docs", lambda p: io.write_docs_index(docs_idx(spark, sf_dir), p), lambda p: io.read_docs_index(spark, p))
+
+
+def zipf_file(spark, sf_dir):
+    return _read_back(spark, "zipf", lambda p: io.write_zipf(K.zipf(terms(spark, sf_dir)), p), lambda p: io.read_zipf(spark, p))
+
+
+def top_terms_file(spark, sf_dir):
+    return _read_back(spark, "top", lambda p: io.write_top_terms(zipf_top(spark, sf_dir), p), lambda p: io.read_top_terms(spark, p))
+
+
+def query_file(spark, sf_dir):
+    """The regions' names as queries with blank lines between."""
+    lines = table(spark, sf_dir, "region").select(F.explode(F.array("r_name", F.lit(""), F.lit("  "))).alias("value"))
+    return _read_back(spark, "queries", lambda p: lines.write.text(p), lambda p: spark.createDataFrame([(q,) for q in io.read_queries(spark, p)], "query string"))
+
+
+def index_files(spark, sf_dir):
+    return _read_back(spark, "index", lambda p: index.write_index(index.build_index(corpus(spark, sf_dir), analyzer="ascii"), p), lambda p: index.read_index(spark, p))
+
+
+def direct_files(spark, sf_dir):
+    return _read_back(spark, "direct", lambda p: index.write_direct(index.direct_index(corpus(spark, sf_dir)), p), lambda p: index.read_direct(spark, p))
+
+
+def write_stored(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """A stored index of documents, analysed and stemmed."""
+    c = corpus(spark, sf_dir)
+    index.write_index(index.build_index(c, stemmed=True), f"{path}/postings")
+    index.write_direct(index.direct_index(c), f"{path}/direct")
+    index.write_about(spark, f"{path}/about", stemmed=True)
+
+
+def ask_stored(spark: SparkSession, path: str, queries: list[str]) -> DataFrame:
+    """Hits with titles over a stored index, the queries read as it read its texts."""
+    direct = index.read_direct(spark, f"{path}/direct")
+    analyze = search.analysis(spark, queries, **index.read_about(spark, f"{path}/about"))
+    return search.with_documents(search.search(index.read_index(spark, f"{path}/postings"), queries, direct=direct, analyze=analyze), direct)
+
+
+def search_stored(spark, sf_dir):
+    ask = lambda p: ask_stored(spark, p, ['THE && "Der,"', "that-the || (Der !the)", "a && the"])
+    return _read_back(spark, "stored", lambda p: write_stored(spark, sf_dir, p), lambda p: ask(p).select("query_id", "doc_id", "title"))
+
+
+def statistics_file(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    made = stats.statistics(c, K.occurrences(c), docs_idx(spark, sf_dir), 5)
+    schema = made.schema
+    found = _read_back(spark, "statistics", lambda p: io.write_statistics(made, p), lambda p: spark.read.schema(schema).json(p))
+    return round9(found.select("corpus_from_export.documents", "corpus_from_export.clean_text_bytes_total", F.element_at("corpus_from_export.sources", "web").alias("web"), "tokens.tokens_total", "tokens.avg_token_length_chars", "tokens.tokens_per_doc.median", F.element_at("tokens.top_tokens", 1)["token"].alias("first_token")))
+
+
 QUERIES = (
     tokenize, docs_idx, tokens_per_doc_stats, term_freq, zipf, zipf_top, zipf_plot, stem_words, stem_zipf_top, stem_counters, postings, index_totals,
     search_and, search_or, search_not, search_nested, search_enriched, search_algebra, corpus_by_source, corpus_stats, sample_titles, token_summary,
     raw_store_stats, store_stats, normalize_url, content_hash, unique_urls, clean_text_norm, word_count, headings, sizes, export_corpus, html_clean,
     html_title, refresh_actions, refresh_store, due_for_revisit, visit_budget, category_walk, category_paths, sitemap_urls, sitemap_pages, allowed_urls,
-    source_detection,
+    source_detection, stem_cyrillic, invalid_text, article_rules, duplicate_ids, visited_urls, get_document, existing_urls, throughput, corpus_file,
+    corpus_file_lenient, corpus_file_literal, tokens_file, token_column_file, stems_file, docs_idx_file, zipf_file, top_terms_file, query_file, index_files,
+    direct_files, search_stored, statistics_file,
 )
 
 

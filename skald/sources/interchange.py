@@ -6,7 +6,7 @@ skipped, as each reader says.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,17 @@ from skald.functions.text import six_digits
 CORPUS = T.StructType([T.StructField(n, T.StringType()) for n in ("doc_id", "normalized_url", "source_name", "title", "clean_text")])
 
 
-def read_corpus(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
-    """A JSON-lines corpus. strict drops rows without id or text; else missing fields are empty. Broken lines are dropped."""
+def read_corpus(spark: SparkSession, path: str, *, strict: bool = True, literal: bool = False) -> DataFrame:
+    """A JSON-lines corpus. strict drops rows without id or text; else missing fields are empty. Broken lines are dropped.
+
+    literal reads lines as the plain extractor does: only doc_id and
+    clean_text, found by their first keys, and escapes other than \\n, \\t
+    and \\r stand for the character itself.
+    """
+    if literal:
+        value = F.col("value")
+        rows = spark.read.text(path).select(_plain_id(value).alias("doc_id"), _plain_text(value).alias("clean_text"))
+        return rows.filter("doc_id is not null and clean_text is not null")
     schema = T.StructType([*CORPUS, T.StructField("_broken", T.StringType())])
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     rows = spark.read.text(path).filter("trim(value) <> ''").select(parsed.alias("r")).filter("r is not null and r._broken is null").select("r.*").drop("_broken")
@@ -25,6 +34,29 @@ def read_corpus(spark: SparkSession, path: str, *, strict: bool = True) -> DataF
     return rows.na.fill("")
 
 
+def _behind(line: Column, key: str) -> Column:
+    """What stands behind a key's colon and blanks; null without the key."""
+    rest = F.regexp_extract(line, rf'(?s)^(?>.*?"{key}")[^:]*+:\x20*+(.*)$', 1)
+    return F.when(rest != "", rest)
+
+
+def _plain_id(line: Column) -> Column:
+    """A quoted id or the digits of a number."""
+    rest = _behind(line, "doc_id")
+    return F.when(rest.rlike('^"[^"]*"'), F.regexp_extract(rest, '^"([^"]*)"', 1)).when(rest.rlike("^[0-9]"), F.regexp_extract(rest, "^([0-9]+)", 1))
+
+
+def _plain_text(line: Column) -> Column:
+    """A quoted text: escapes are marked first, so that the closing quote is the first one without a mark."""
+    rest = _behind(line, "clean_text")
+    marked = F.regexp_replace(F.substring(rest, 2, 1 << 30), "(?s)(?:\\\\|(?=\x01))(.)", "\x01$1")
+    parts = F.split(marked, '(?<!\x01)"', 2)
+    meant = lambda c: F.when(c == "n", "\n").when(c == "t", "\t").when(c == "r", "\r").otherwise(c)
+    pieces = F.regexp_extract_all(parts[0], F.lit("(?s)\x01.|[^\x01]+"), F.lit(0))
+    text = F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("\x01"), meant(F.substring(p, 2, 2))).otherwise(p)), "")
+    return F.when(rest.startswith('"') & (F.size(parts) == 2), text)
+
+
 def write_corpus(corpus: DataFrame, path: str) -> None:
     """A JSON-lines corpus, other scripts kept as they are."""
     corpus.select(*[F.col(c).cast("string") for c in CORPUS.names]).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -93,6 +125,11 @@ def write_top_terms(terms: DataFrame, path: str) -> None:
     terms.select("rank", "term", "freq").coalesce(1).sortWithinPartitions("rank").write.mode("overwrite").option("header", True).csv(path, sep="\t", quote="")
 
 
+def read_top_terms(spark: SparkSession, path: str) -> DataFrame:
+    """What write_top_terms() wrote."""
+    return spark.read.schema("rank bigint, term string, freq bigint").option("header", True).csv(path, sep="\t", quote="")
+
+
 def write_statistics(statistics: DataFrame, path: str) -> None:
     """A statistics row as JSON."""
     statistics.write.mode("overwrite").json(path)

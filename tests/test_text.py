@@ -134,3 +134,10 @@ def test_sizes_round_as_the_exact_value_does(spark):
         return f"{x:.2f} PB"
 
     assert {r["v"]: r["out"] for r in rows} == {float(v): plain(float(v)) for v in values}
+
+
+def test_six_digits_are_those_of_c(spark):
+    rng = random.Random(2)
+    values = [0.0, 1.0, 59.78125, 0.5978125, 999999.5, 1e6, 123456.5, 1234567.0, 0.30103, 1e-5, 25600.0, -2.5, 0.00012345678, 5e15, 100000.5, 1e-4, *(rng.uniform(0, 10) ** rng.randint(-3, 7) for _ in range(300))]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.six_digits(F.col("v")).alias("out")).collect()
+    assert {r["v"]: r["out"] for r in rows} == {v: f"{v:.6g}" for v in values}
