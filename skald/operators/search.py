@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,8 @@ def analysis(spark: SparkSession, queries: Iterable[str], *, analyzer: str = "un
     found = (X.tokens if analyzer == "unicode" else X.ascii_tokens)(F.try_validate_utf8(F.col("word")))
     if stemmed:
         found = F.filter(F.transform(found, X.stem), lambda t: t.isNotNull())
-    rows = spark.createDataFrame([(w,) for w in words], "word string").select("word", found.alias("terms")).collect()  # the queries' words
+    # a local relation: the engine reads the words while it plans, without a job
+    rows = spark.createDataFrame(pa.table({"word": pa.array(words, pa.string())})).select("word", found.alias("terms")).collect()
     terms = {r["word"]: list(r["terms"] or []) for r in rows}
     return lambda word: terms.get(word, [])
 

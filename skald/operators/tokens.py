@@ -100,9 +100,9 @@ def ranked(terms: DataFrame) -> DataFrame:
 
 def zipf(terms: DataFrame) -> DataFrame:
     """rank, freq, log10_rank, log10_freq, zipf_freq: the rank table with the law's C / rank, C the largest frequency."""
-    most = terms.agg(F.max("freq").alias("c"))
-    table = ranked(terms).crossJoin(F.broadcast(most))  # one row
-    return table.select("rank", "freq", F.log10(F.col("rank").cast("double")).alias("log10_rank"), F.log10(F.col("freq").cast("double")).alias("log10_freq"), (F.col("c") / F.col("rank")).alias("zipf_freq"))
+    table = ranked(terms)  # settled: its maximum costs no second count
+    named = table.crossJoin(F.broadcast(table.agg(F.max("freq").alias("c"))))  # one row
+    return named.select("rank", "freq", F.log10(F.col("rank").cast("double")).alias("log10_rank"), F.log10(F.col("freq").cast("double")).alias("log10_freq"), (F.col("c") / F.col("rank")).alias("zipf_freq"))
 
 
 def zipf_plot(table: DataFrame) -> DataFrame:

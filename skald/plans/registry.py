@@ -419,15 +419,19 @@ def write_stored(spark: SparkSession, sf_dir: str, path: str) -> None:
     index.write_about(spark, f"{path}/about", stemmed=True)
 
 
-def ask_stored(spark: SparkSession, path: str, queries: list[str]) -> DataFrame:
-    """Hits with titles over a stored index, the queries read as it read its texts."""
-    direct = index.read_direct(spark, f"{path}/direct")
-    analyze = search.analysis(spark, queries, **index.read_about(spark, f"{path}/about"))
-    return search.with_documents(search.search(index.read_index(spark, f"{path}/postings"), queries, direct=direct, analyze=analyze), direct)
+def open_stored(spark: SparkSession, path: str) -> Callable[[list[str]], DataFrame]:
+    """A stored index to ask: queries to hits with titles, the queries read as the index read its texts."""
+    postings, direct, about = index.read_index(spark, f"{path}/postings"), index.read_direct(spark, f"{path}/direct"), index.read_about(spark, f"{path}/about")
+
+    def ask(queries: list[str]) -> DataFrame:
+        analyze = search.analysis(spark, queries, **about)
+        return search.with_documents(search.search(postings, queries, direct=direct, analyze=analyze), direct)
+
+    return ask
 
 
 def search_stored(spark, sf_dir):
-    ask = lambda p: ask_stored(spark, p, ['THE && "Der,"', "that-the || (Der !the)", "a && the"])
+    ask = lambda p: open_stored(spark, p)(['THE && "Der,"', "that-the || (Der !the)", "a && the"])
     return _read_back(spark, "stored", lambda p: write_stored(spark, sf_dir, p), lambda p: ask(p).select("query_id", "doc_id", "title"))
 
 
