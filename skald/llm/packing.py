@@ -29,8 +29,8 @@ from pyspark.sql import Window as W
 from skald.llm.common import parts, settle, tidy
 from skald.llm.tokens import BytePairs, default_path
 
-#: Pieces that are numbered together.
-GROUP = 50_000
+#: Pieces that are numbered together: a thousandth of all, from FEWEST to GROUP.
+FEWEST, GROUP = 64, 50_000
 
 
 class Plan:
@@ -168,11 +168,12 @@ def assign(cut_up: DataFrame, *, cap: int = 2048, by: tuple[str, ...] = ("doc_id
     for row in cut_up.groupBy("length").count().collect():  # at most cap rows
         counts[row["length"]] = row["count"]
     plan = Plan(counts)
-    salts = F.array(*[F.lit(max(1, -(-int(n) // GROUP))) for n in counts])
+    group = max(FEWEST, min(GROUP, int(counts.sum()) // 1000))
+    salts = F.array(*[F.lit(max(1, -(-int(n) // group))) for n in counts])
     salted = cut_up.withColumn("_salt", F.pmod(F.xxhash64(*by), F.element_at(salts, (F.col("length") + 1).cast("int"))))
-    group = ["length", "_salt"]
-    before = salted.groupBy(*group).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
-    ranked = salted.withColumn("_row", F.row_number().over(W.partitionBy(*group).orderBy(*by))).join(before, group)
+    by_salt = ["length", "_salt"]
+    before = salted.groupBy(*by_salt).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
+    ranked = salted.withColumn("_row", F.row_number().over(W.partitionBy(*by_salt).orderBy(*by))).join(before, by_salt)
     ranked = ranked.withColumn("_rank", F.col("_row") + F.col("_before") - 1).drop("_salt", "_row", "_before")
     shared = spark.sparkContext.broadcast(plan)
     schema = T.StructType([*(ranked.schema[c] for c in cut_up.columns), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

@@ -59,6 +59,7 @@ def test_round_trip(make):
 
 
 def test_groups_of_one_length_are_numbered_in_parts(make, monkeypatch):
+    monkeypatch.setattr(P, "FEWEST", 3)
     monkeypatch.setattr(P, "GROUP", 3)
     got = P.pack(make([(i, "same text") for i in range(50)] + [(1, "same text")]), cap=8).toPandas()
     assert len(got) == 51
