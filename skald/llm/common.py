@@ -23,7 +23,7 @@ from skald.sources.shared import drop, scratch, settle, shared_dir
 __all__ = ["drop", "scratch", "settle", "shared_dir"]
 
 #: Bytes of text that a scan handles at once (a longer document makes a slice of its own).
-SLICEBYTES = 4 << 20
+SLICEBYTES = 2 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -75,10 +75,17 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def map_large() -> None:
+    """From now on large arrays get pages of their own, which go back as soon as they are freed, whatever else lives on."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def tidy(run):
     """run over batches, and release() when its task ends."""
 
     def tidied(batches):
+        map_large()
         try:
             yield from run(batches)
         finally:

@@ -140,7 +140,7 @@ def similar(pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (xs, xat), (ys, yat) = buffers(batch.column(2)), buffers(batch.column(3))
-            x, y, xat, yat = np.frombuffer(xs.tobytes(), np.uint64), np.frombuffer(ys.tobytes(), np.uint64), xat // 8, yat // 8
+            x, y, xat, yat = xs.view(np.uint64), ys.view(np.uint64), xat // 8, yat // 8
             good = []
             for r in range(batch.num_rows):
                 p, q = x[xat[r] : xat[r + 1]], y[yat[r] : yat[r + 1]]

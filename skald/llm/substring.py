@@ -303,7 +303,7 @@ def _align(pairs: DataFrame, words: DataFrame, *, k: int, least: int, similar: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (x, xat), (y, yat) = buffers(batch.column(3)), buffers(batch.column(4))
-            a, b = np.frombuffer(x.tobytes(), "<u2"), np.frombuffer(y.tobytes(), "<u2")
+            a, b = x.view("<u2"), y.view("<u2")
             which, got = [], []
             for r in range(batch.num_rows):
                 for p in passages(a[xat[r] // 2 : xat[r + 1] // 2], b[yat[r] // 2 : yat[r + 1] // 2], k=k, least=least, similar=similar):
