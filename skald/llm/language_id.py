@@ -17,7 +17,9 @@ margin and length over calibration rows that no count has seen). It is
 rejected when it has no letter, or when its cross-entropy lies so many standard
 errors above its language's that a share of REJECTED of calibration rows would
 lie there: the quantile among these rows, or if that is higher the point at
-which an exponential tail through their upper TAIL has that share left.
+which an exponential tail through their upper TAIL has that share left. Fewer
+than 1 / REJECTED calibration rows cannot tell such a share; then it must also
+be CEILING times the largest cross-entropy of all these rows.
 
 Fitting reads at most about `rows_per_language` rows and `bytes_per_language`
 bytes of text a language (ROWS, BYTES; whole rows, a deterministic sample by
@@ -48,7 +50,7 @@ from pyspark.sql import types as T
 from skald.llm.common import buffers, extended, mix, others, quoted, slices, tidy, unused
 
 ORDER, BITS, ROWS, BYTES, LANGUAGES = 5, 12, 4000, 16 << 20, 256
-REJECTED, TAIL = 0.001, 0.05
+REJECTED, TAIL, CEILING = 0.001, 0.05, 1.8
 UNKNOWN = "und"
 _OWN = 0x700
 _TABLE = 0x20000
@@ -205,6 +207,7 @@ class Model:
         self.weights = np.array([0.0, 4.0, 0.5])
         self.mean = self.spread = np.zeros(len(languages))
         self.wide, self.limit = 1.0, np.inf
+        self.ceiling = np.zeros(len(languages))
 
     def log_p(self, key: np.ndarray) -> np.ndarray:
         """log P of each top-order n-gram under each language."""
@@ -268,6 +271,8 @@ class Model:
         self.wide = max(0.5, float(np.mean(np.maximum(excess, 0) * many)))
         best, _, _, off = self.judge(h, many)
         self.limit = upper_limit(off)
+        if len(off) < 1 / REJECTED:  # too few rows to tell so small a share by
+            self.ceiling = np.full(len(self.languages), CEILING * own.max())
         right = (best == truth).astype(float)
         ordered = np.sort(h, axis=1)
         margin = ordered[:, 1] - ordered[:, 0] if h.shape[1] > 1 else np.full(len(h), 10.0)
@@ -363,7 +368,7 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
                 best, score, margin, off = m.judge(h, many)
                 names = [*m.languages, UNKNOWN]
                 least = np.where(many > 0, h.min(axis=1) if n else 0.0, 0.0)
-                cols = [pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score), pa.array(margin), pa.array(least), pa.array((best < 0) | (off > m.limit))]
+                cols = [pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score), pa.array(margin), pa.array(least), pa.array((best < 0) | ((off > m.limit) & (least > m.ceiling[best])))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[str(i) for i in range(batch.num_columns + len(cols))])
 
     return extended(docs.select(*[F.col(quoted(c)) for c in kept]), run, new)
