@@ -61,8 +61,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round9(df: DataFrame) -> DataFrame:
-    """Doubles rounded to nine places, so that two engines' last bits agree."""
-    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded to nine places in binary, as DuckDB rounds: a half-up of their shortest decimals differs near a tie."""
+    return df.select(*[(F.round(F.col(c) * 1e9) / 1e9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def tokenize(spark, sf_dir):
